@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.kdtree import OP8_SQL, op8_kdtree
+from lodestone.llm.mixing import op3_mix
+from lodestone.llm.packing import op7_pack
 from lodestone.llm.simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op3_mix, op7_pack, op8_kdtree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_kdtree": OP8_SQL}
