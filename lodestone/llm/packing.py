@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,31 +21,64 @@ GROUP_TOKENS = 1 << 22
 END = (1).to_bytes(4, "little")
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian bytes; the last `most` words to come up are kept, and as many before them.
+class Kept(dict):
+    """Keys and what `make` makes of them: at least the last `most` keys to come up are kept, at most twice as many."""
 
-    Pre-tokens of the tokenizer never cross ASCII white space, so a text's ids are those of its words in turn.
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+class WordIds:
+    """Texts' ids as little-endian bytes, by way of their words.
+
+    Pre-tokens of the tokenizer never cross ASCII white space, so a text's ids are those of its words in turn. A word of Latin letters that
+    ASCII other than letters may follow is two parts, whose ids follow each other: the letters, lower-cased, are one pre-token, which
+    goes straight to the merges; the tail starts another. Other words and tails go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    PARTS = re.compile(r"([a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-@\[-`{-~][!-~]*)?", re.ASCII)
+
+    def __init__(self, path: str, words: int = 500_000, parts: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
-        self.encode, self.most, self.old = Tokenizer.from_file(path).encode, most, {}
+        tokens = Tokenizer.from_file(path)
+        self.encode, self.merge = tokens.encode, tokens.model.tokenize
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: level(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.words, self.stems, self.tails = Kept(self._word, words), Kept(self._stem, parts), Kept(self._text, words)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = array("I", self.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
+    def _text(self, text: str) -> bytes:
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _stem(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.merge(letters.translate(self.letters))]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        m = self.PARTS.fullmatch(text)
+        if not m:
+            return self.tails[text]
+        stem = self.stems[m[1].lower()]
+        return stem + self.tails[m[2]] if m[2] else stem
 
     def text(self, text: bytes) -> bytes:
-        ids = b"".join(map(self.__getitem__, text.split()))
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        ids = b"".join(map(self.words.__getitem__, text.split()))
+        for kept in (self.words, self.stems, self.tails):
+            kept.trim()
         return ids
 
 
