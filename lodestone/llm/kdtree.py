@@ -140,11 +140,11 @@ def op8_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
   from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.e, v.e), p -> p[1] * p[2])) as bigint) as score
+  select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) as bigint) as score
   from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0
 ), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
