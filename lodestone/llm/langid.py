@@ -197,20 +197,21 @@ def labelled_texts(docs: DataFrame, most: int = MOST_ROWS, languages: int = MOST
     return out
 
 
-def predict(docs: DataFrame, model: Crf, mod: int = 4, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row's whole text.
+def annotate(docs: DataFrame, model: Crf) -> DataFrame:
+    """Adds lang_pred and score to the columns of docs, from every row's whole text.
 
     score is the mean marginal of the predicted language over the words. A text that is null or without a letter, and any
     text if nothing was learned, is `und` with score 0.
     """
     labels = np.array([*model.labels, "und"], dtype=object)
     k = len(model.labels)
+    at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordTable(lambda words: (model.emissions(words),))
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(2).to_pylist()
+                texts = part.column(at_text).cast(pa.binary()).to_pylist()
                 words = [words_of(t) if t else [] for t in texts]
                 for i, w in enumerate(words):
                     if not w or not A_LETTER.search(w[0].decode("utf-8", "replace")) and not A_LETTER.search(texts[i].decode("utf-8", "replace")):
@@ -221,13 +222,17 @@ def predict(docs: DataFrame, model: Crf, mod: int = 4, held: int = 2) -> DataFra
                     at = known.rows(list(chain.from_iterable(words)))
                     mass = sums(forward_backward(known.arrays[0][at], lengths, model.steps), lengths) / np.maximum(lengths, 1)[:, None]
                     best = np.where(lengths > 0, mass.argmax(1), k)
-                    score = np.clip(mass.max(1), 0, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(labels[best], pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"]
-                )
+                    score = np.where(lengths > 0, np.clip(mass.max(1), 0, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels[best], pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "lang_pred string, score double"])
+    return docs.mapInArrow(run, schema)
 
-    rows = docs.select(F.col("doc_id").cast("long"), (crc_mod("doc_id", mod) == held).alias("held_out"), F.col("text").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Crf, mod: int = 4, held: int = 2) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row."""
+    rows = docs.select(F.col("doc_id").cast("long"), (crc_mod("doc_id", mod) == held).alias("held_out"), "text")
+    return annotate(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def fit(docs: DataFrame, mod: int = 4, held: int = 2, most: int = MOST_ROWS, seed: int = 42) -> Crf:

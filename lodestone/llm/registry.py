@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from lodestone.llm.brown import op2_brown_lm
 from lodestone.llm.imatch import op5_imatch
 from lodestone.llm.kdtree import OP8_SQL, op8_kdtree
@@ -19,8 +20,9 @@ from lodestone.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_brown_lm, op3_mix, op4_langid, op5_imatch, op6_toxicity, op7_pack, op8_kdtree, op9_pii, op10_quality)}
+    found = {f.__name__: f for f in (op1_simhash, op2_brown_lm, op3_mix, op4_langid, op5_imatch, op6_toxicity, op7_pack, op8_kdtree, op9_pii, op10_quality)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_kdtree": OP8_SQL}
+    return {"op8_kdtree": OP8_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
