@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import graph, intervals, metrics, ordered, reconcile, search
+from lodestone.operators import graph, intervals, metrics, ordered, reconcile, search, textdiff, validate
+from lodestone.sources import extract, scratch
+from lodestone.sources.store import GenerationStore, incremental
+from lodestone.sources.store import session_blobs as store_session
+from lodestone.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -536,3 +540,79 @@ select node, ancestor, min(distance) as distance from a group by all
 """)
 def ancestors(spark, d):
     return graph.ancestors(_geography(spark, d).select(F.col("src").alias("node"), F.col("dst").alias("parent")))
+
+
+# --- sources, store, validation, text diff, streams
+
+
+@query("""
+select doc_id, line, name, cast(length(body) as bigint) as length from (
+  select doc_id, cast(line as bigint) as line, body, regexp_extract(body, '[^ \\t\\r\\n\\x0B\\x0C]+', 0) as name from (
+    select doc_id, unnest(x) as body, unnest(range(1, len(x) + 1)) as line from (select doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') as x from documents where text <> ''))) where name <> ''
+""")
+def declarations(spark, d):
+    return extract.line_declarations(table(spark, d, "documents"), "doc_id")
+
+
+@query()
+def markup_elements(spark, d):
+    return extract.markup_declarations(table(spark, d, "pages"), "page_id")
+
+
+@query("""
+select 'size_matches' as rule, doc_id as key from documents where n_chars is distinct from length(text)
+union all select 'lang_known', doc_id from documents where lang is null or lang not in ('en', 'de')
+union all select 'source_even', doc_id from documents where source is null or cast(substr(source, 4) as int) % 2 <> 0
+""")
+def contract_violations(spark, d):
+    rules = {
+        "size_matches": F.col("n_chars") == F.length("text"),
+        "lang_known": F.col("lang").isin("en", "de"),
+        "source_even": F.expr("cast(substr(source, 4) as int) % 2 = 0"),
+    }
+    return validate.violations(table(spark, d, "documents"), "doc_id", rules)
+
+
+@query("select doc_id, source, sha256(text) as digest from documents")
+def generation_roundtrip(spark, d):
+    store = GenerationStore(spark, scratch.new_path(spark))
+    rows = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
+    first = store.publish(rows.where("doc_id % 2 = 0"), key=["doc_id"])
+    second = store.publish(rows.where("doc_id % 2 <> 0"), key=["doc_id"])
+    return store.open(first.generation).unionByName(store.open(second.generation))
+
+
+@query(f"with {PAIR} select id, digest, cast(length(text) as bigint) as size from target")
+def incremental_equals_full(spark, d):
+    base, target = snapshots(table(spark, d, "documents"))
+    sizes = lambda files: files.select("id", "digest", F.length("text").cast("long").alias("size"))
+    return incremental(scratch.settled(sizes(base)), target, sizes, "id", "digest")
+
+
+@query("select source, count(*) as files, count(distinct sha256(text)) as blobs from documents group by 1")
+def session_blobs(spark, d):
+    files, blobs = store_session(table(spark, d, "documents").withColumn("digest", F.sha2("text", 256)), "text", "digest")
+    held = files.join(blobs.select("digest"), "digest", "left_semi")
+    return held.groupBy("source", "digest").agg(F.count("*").alias("n")).groupBy("source").agg(F.sum("n").alias("files"), F.count("*").alias("blobs"))
+
+
+@query()
+def line_diff(spark, d):
+    base, target = snapshots(table(spark, d, "documents"))
+    pairs = base.select("id", F.col("text").alias("base")).join(target.select("id", F.col("text").alias("target")), "id", "full_outer").where("not base <=> target")
+    return textdiff.line_diffs(pairs, "id").withColumn("hunks", F.array_join("hunks", "\n"))
+
+
+@query("select distinct event_id, user_id, event_type from events")
+def stream_dedup(spark, d):
+    out = scratch.new_path(spark)
+    twice = events.read_events(spark, f"{d}/events.parquet").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    events.run_once(events.deduplicated(twice).select("event_id", "user_id", "event_type"), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query()
+def stream_sessions(spark, d):
+    out = scratch.new_path(spark)
+    events.run_once(events.sessions(events.read_events(spark, f"{d}/events.parquet")), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema("user_id long, start timestamp, end timestamp, n long").parquet(f"{out}/rows")
