@@ -167,8 +167,9 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = 15) -> tup
             up, left = _nlogn(n + after) - held, _nlogn(n + before[:, None]) - held
             d = np.arange(k)
             gain = up.sum(1) - up[d, d] + left.sum(0) - left[d, d] + _nlogn(n[d, d] + after + before + same) - held[d, d]
-            gain -= _nlogn(rows + after.sum() + before + same) - _nlogn(rows) + _nlogn(columns + before.sum() + after + same) - _nlogn(columns)
-            # the other rows' and columns' sums change with the neighbours alone, alike for each class, but for the class's own share
+            # every row gains its words before w, every column its words after, whichever the class; only the class's own gain more
+            gain -= _nlogn(rows + before + after.sum() + same) - _nlogn(rows + before)
+            gain -= _nlogn(columns + after + before.sum() + same) - _nlogn(columns + after)
             new = int(np.argmax(gain[:classes]))
             if gain[new] <= gain[own] + 1e-9:
                 new = own
