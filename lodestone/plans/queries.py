@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import graph, intervals, metrics, ordered, reconcile, search, textdiff, validate
+from lodestone.operators import graph, intervals, metrics, ordered, reconcile, sampling, search, textdiff, validate
 from lodestone.sources import extract, scratch
 from lodestone.sources.store import GenerationStore, incremental
 from lodestone.sources.store import session_blobs as store_session
@@ -616,3 +616,70 @@ def stream_sessions(spark, d):
     out = scratch.new_path(spark)
     events.run_once(events.sessions(events.read_events(spark, f"{d}/events.parquet")), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema("user_id long, start timestamp, end timestamp, n long").parquet(f"{out}/rows")
+
+
+# --- sampling and checks
+
+
+@query("""
+with p as (select o_orderstatus, o_orderkey, row_number() over (partition by o_orderstatus order by sha256('t:' || o_orderkey), o_orderkey) as place from orders)
+select o_orderstatus, o_orderkey, case when place = 1 then 'tuning' else 'held_out' end as part from p
+""")
+def tuning_split(spark, d):
+    return sampling.tuning_split(table(spark, d, "orders").select("o_orderstatus", "o_orderkey"), "o_orderstatus", "o_orderkey", "t:")
+
+
+@query("select l_orderkey, count(*) as n, sum(l_quantity) as units from lineitem group by 1 having count(*) between 2 and 5 and sum(l_quantity) <= 120")
+def range_filter(spark, d):
+    by_order = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("units"))
+    return by_order.where(sampling.within(n=(2, 5), units=(None, 120)))
+
+
+@query("select lang, count(distinct source) as sources, count(distinct sha256(text)) as texts from documents group by 1")
+def distinct_files(spark, d):
+    t = table(spark, d, "documents").select("lang", "source", F.sha2("text", 256).alias("digest")).distinct()
+    texts = t.select("lang", "digest").distinct().groupBy("lang").agg(F.count("*").alias("texts"))
+    return t.select("lang", "source").distinct().groupBy("lang").agg(F.count("*").alias("sources")).join(texts, "lang")
+
+
+@query(f"""
+with {PAIR}, p as (select c.change, coalesce(b.source, t.source) as source from changed c left join base b on c.id = b.id left join target t on c.id = t.id)
+select source, list_aggregate(list_sort(list(distinct change)), 'string_agg', ',') as reasons, count(*) as n from p group by 1
+""")
+def invalidated_projects(spark, d):
+    base, target = snapshots(table(spark, d, "documents"))
+    changed = reconcile.changes(base, target, "id", "digest").select("id", "change")
+    where = base.select("id", "source").union(target.select("id", "source")).distinct()
+    by = changed.join(where, "id").groupBy("source", "change").agg(F.count("*").alias("n"))
+    return by.groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("change")), ",").alias("reasons"), F.sum("n").alias("n"))
+
+
+@query("select distinct o_custkey * 2 as missing from orders where o_custkey * 2 not in (select c_custkey from customer)")
+def missing_targets(spark, d):
+    wanted = table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("missing")).distinct()
+    return wanted.join(table(spark, d, "customer").select(F.col("c_custkey").alias("missing")), "missing", "left_anti")
+
+
+@query(f"""
+with {PAIR}, s as (select b.source, case when t.id is null then 'missing' when b.digest = t.digest then 'verified' else 'stale' end as status from base b left join target t on b.id = t.id)
+select source, count(*) filter (status = 'verified') as n_verified, count(*) filter (status = 'stale') as n_stale, count(*) filter (status = 'missing') as n_missing from s group by 1
+""")
+def validation_counters(spark, d):
+    base, target = snapshots(table(spark, d, "documents"))
+    both = base.select("id", "source", "digest").join(target.select("id", F.col("digest").alias("now")), "id", "left")
+    status = F.when(F.col("now").isNull(), "missing").when(F.col("now") == F.col("digest"), "verified").otherwise("stale")
+    return metrics.statuses(both.withColumn("status", status), "source", "status", ["verified", "stale", "missing"])
+
+
+@query("""
+with recursive o as (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderkey) as n from orders),
+w as (
+  select o_custkey, n, o_orderkey, o_totalprice, 1 as state, cast(null as bigint) as first from o where n = 1
+  union all select o.o_custkey, o.n, o.o_orderkey, o.o_totalprice,
+    case when w.state = 1 and o.o_totalprice > w.o_totalprice then 0 else 1 end, case when w.state = 1 and o.o_totalprice > w.o_totalprice then w.o_orderkey end
+  from w join o on o.o_custkey = w.o_custkey and o.n = w.n + 1)
+select o_custkey, first, o_orderkey as second from w where first is not null
+""")
+def greedy_pairs(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return sampling.greedy_pairs(o, "o_custkey", "o_orderkey", lambda a, b: b["o_totalprice"] > a["o_totalprice"])

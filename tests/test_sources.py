@@ -90,3 +90,25 @@ def test_markup_spans(spark):
     df = spark.createDataFrame([(1, "<p>a<b>x</b>\n<br></p><i>"), (2, None), (3, "plain")], "id long, html string")
     got = {(r.name, r.start, r.end, r.depth) for r in markup_declarations(df, "id").collect()}
     assert got == {("b", 4, 12, 1), ("br", 13, 17, 1), ("p", 0, 21, 0)}
+
+
+def test_revision_source(spark, tmp_path):
+    import subprocess
+
+    from lodestone.sources.versions import register
+
+    def git(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
+
+    git("init", "-q")
+    (tmp_path / "a b.txt").write_bytes(b"one\r\n")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "c.txt").write_bytes(b"two")
+    git("add", ".")
+    git("commit", "-qm", "first")
+    (tmp_path / "a b.txt").write_bytes(b"changed")
+    git("commit", "-qam", "second")
+    register(spark)
+    read = lambda r: spark.read.format("revision").option("root", str(tmp_path)).option("revision", r).load()
+    assert {(r.path, bytes(r.content)) for r in read("HEAD").collect()} == {("a b.txt", b"changed"), ("d/c.txt", b"two")}
+    assert {(r.path, bytes(r.content)) for r in read("HEAD~1").where("path = 'a b.txt'").collect()} == {("a b.txt", b"one\r\n")}
