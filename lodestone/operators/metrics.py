@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import ratio
+from lodestone.operators.ordered import placed, running_total
 
 
 def ratio_of(df: DataFrame, by: Sequence[str], num: Column, den: Column) -> DataFrame:
@@ -15,10 +16,23 @@ def ratio_of(df: DataFrame, by: Sequence[str], num: Column, den: Column) -> Data
     return df.groupBy(*by).agg(F.coalesce(F.sum(num), F.lit(0)).alias("num"), F.coalesce(F.sum(den), F.lit(0)).alias("den")).withColumn("value", ratio(F.col("num"), F.col("den")))
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, n, median, p95, most): the exact median (mean of the middle two) and the nearest-rank p95 of values that are not null.
+
+    Values are ranked over ranges, so that no task holds a group's values; groups without a value have no row.
+    """
+    ranked = placed(df.where(F.col(value).isNotNull()).select(*by, value), by, [value])
+    counts = ranked.groupBy(*by).agg(F.count("*").alias("n"))
+    both = ranked.join(counts, list(by))
+    middle = F.col("place").between(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1"))
+    p95 = F.col("place") == F.expr("(95 * n + 99) div 100")
+    return both.groupBy(*by).agg(F.any_value("n").alias("n"), F.avg(F.when(middle, F.col(value))).alias("median"), F.max(F.when(p95, F.col(value))).alias("p95"), F.max(value).alias("most"))
+
+
 def latency(df: DataFrame, by: str, value: str) -> DataFrame:
-    """n, the exact median (mean of the middle two), the nearest-rank p95 and the maximum."""
-    p95 = F.expr(f"percentile_disc(0.95) within group (order by {value})")
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.expr(f"percentile({value}, 0.5)").alias("median"), p95.alias("p95"), F.max(value).alias("most"))
+    """The quantiles of each group, n 0 and nulls for one without a value."""
+    groups = df.select(by).distinct()
+    return groups.join(quantiles(df, [by], value), by, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def statuses(df: DataFrame, by: str, status: str, values: Sequence[str]) -> DataFrame:
@@ -34,7 +48,7 @@ def map_sum(df: DataFrame, by: Sequence[str], json: str) -> DataFrame:
 
 def best_by_median(df: DataFrame, by: str, option: str, value: str) -> DataFrame:
     """Each group's option with the lowest median, ties to the smaller option."""
-    medians = df.groupBy(by, option).agg(F.expr(f"percentile({value}, 0.5)").alias("median"))
+    medians = quantiles(df, [by, option], value).select(by, option, "median")
     best = F.row_number().over(Window.partitionBy(by).orderBy("median", option))
     return medians.withColumn("_n", best).where("_n = 1").drop("_n")
 
@@ -61,8 +75,6 @@ def coverage(df: DataFrame, by: str) -> DataFrame:
 
 def evict(df: DataFrame, age: str, size: str, key: str, most: int, protected: DataFrame) -> DataFrame:
     """What must go for the rest to fit in `most`: the oldest first, the protected never. See ordered.running_total for the sums."""
-    from lodestone.operators.ordered import running_total
-
     free = df.join(protected.select(key), key, "left_anti")
     over = df.agg((F.sum(size) - most).alias("over"))
     return running_total(free, [age, key], size).crossJoin(F.broadcast(over)).where(F.col("total") - F.col(size) < F.col("over")).drop("over", "total")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import settled
+
 
 def islands(df: DataFrame, group: str, at: str, gap: float | int) -> DataFrame:
     """Adds island, from 1: rows of a group in order, a new one where `at` is over `gap` beyond the row before."""
@@ -15,18 +17,39 @@ def islands(df: DataFrame, group: str, at: str, gap: float | int) -> DataFrame:
     return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
 
 
+def _ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """df cut into ranges of the order, each row with its range's number _part; written, so that every reader sees the same ranges."""
+    return settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
 def running_total(df: DataFrame, order: Sequence[str], amount: str, name: str = "total") -> DataFrame:
     """The sum of amount up to and with each row in a total order over all rows, without bringing them to one task.
 
     Rows are cut into ranges of the order; sums within a range run on its own, and what the ranges before come to is added from one row a range.
     """
-    cut = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    cut = _ranges(df, order)
     within = F.sum(amount).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    held = cut.withColumn("_within", within)
-    sums = held.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    sums = cut.groupBy("_part").agg(F.sum(amount).alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.withColumn("_before", before).select("_part", "_before")
-    return held.join(starts, "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+    return cut.withColumn("_within", within).join(starts, "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+
+
+def placed(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "place") -> DataFrame:
+    """Adds each row's number, from 1, in its group's order: as row_number does, but a large group is ranked by as many tasks as it has ranges.
+
+    group and order together must tell rows apart, or those that they don't are numbered as they come.
+    """
+    cut = _ranges(df, [*group, *order])
+    within = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
+    counts = cut.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("_part").alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), before.alias("_before"))
+    on = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = cut.withColumn("_within", within).join(starts, on)
+    return joined.withColumn(name, F.col("_before") + F.col("_within")).select(*df.columns, name)
 
 
 def within_budget(df: DataFrame, order: Sequence[str], amount: str, most: int) -> DataFrame:
@@ -42,7 +65,7 @@ def latest(df: DataFrame, group: str, order: Sequence[str], keep: Sequence[str])
 def seeded(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     """Adds place: the rank by a seeded digest of the key within the group."""
     mark = F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(mark, key)).cast("long"))
+    return placed(df.withColumn("_mark", mark), [group], ["_mark", key]).drop("_mark")
 
 
 def reordered(base: DataFrame, target: DataFrame, group: str, member: str, at: str) -> DataFrame:

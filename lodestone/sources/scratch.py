@@ -28,8 +28,17 @@ def new_path(spark: SparkSession) -> str:
     return f"{folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Writes df once and reads it back."""
+def settled(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing.
+
+    The tables stay until `release` is called or the folder is emptied.
+    """
     path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes every table that this application settled; results that still read them end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
