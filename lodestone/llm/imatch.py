@@ -19,8 +19,10 @@ from lodestone.llm.common import settled, slices, split_words, table
 RAREST, COMMONEST = 1 / 500, 1 / 5
 #: The lexicon keeps at most so many terms of the band, the most frequent first.
 MOST_TERMS = 200_000
-#: Three subsets at each share of the lexicon: dense ones tell small edits apart, sparse ones survive large edits.
-SHARES = tuple(2.0**-i for i in range(1, 9) for _ in range(3))
+#: EACH subsets at each share of the lexicon: dense ones tell small edits apart, sparse ones survive large edits. A subset says most of a text
+#: of which it holds about one term, so shares go down to where that is so for long texts.
+EACH, ENOUGH = 6, 12
+SHARES = tuple(2.0**-i for i in range(1, 11) for _ in range(EACH))
 FLUSH_TERMS = 400_000
 
 
@@ -68,6 +70,10 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
     return sorted(bytes(r.term) for r in band.select("term").collect())
 
 
+def _slot(held: bytes) -> int:
+    return xxhash.xxh32_intdigest(held) % 0xFFFF + 1
+
+
 class Prints:
     """Slots of a text: for each lexicon subset the hash of the text's distinct terms in it, in order; 0 if it has none.
 
@@ -85,21 +91,31 @@ class Prints:
         terms = set(split_words(text))
         ids = np.array(sorted(filter(lambda x: x is not None, map(self.number.get, terms))), np.int64)
         if not len(ids):
-            return [(xxhash.xxh32_intdigest(b" ".join(sorted(terms))) or 1) if terms else 0] * self.slots
+            return [_slot(b" ".join(sorted(terms))) if terms else 0] * self.slots
         codes = self.codes[ids]
-        return [(xxhash.xxh32_intdigest(codes[m].tobytes()) or 1) if m.any() else 0 for m in self.member[ids].T]
+        return [_slot(codes[m].tobytes()) if m.any() else 0 for m in self.member[ids].T]
 
 
 def text_of(slots: list[int]) -> str:
-    return "".join(f"{x:08x}" for x in slots)
+    return "".join(f"{x:04x}" for x in slots)
 
 
-def likeness(a: list[int], b: list[int]) -> float:
-    """Of the slots that are filled in either fingerprint the share that agree; 1 for equal fingerprints."""
+def likeness(a: list[int], b: list[int], each: int = EACH, enough: int = ENOUGH) -> float:
+    """Of the slots that are filled in either fingerprint the share that agree; 1 for equal fingerprints.
+
+    Slots are taken from the sparsest subsets on, a share of the lexicon at a time, until `enough` are filled: those of about one term agree about as
+    often as the texts share terms, while denser ones all differ once a few terms do.
+    """
     if a == b:
         return 1.0
-    either = [x == y for x, y in zip(a, b) if x or y]
-    return sum(either) / len(either)
+    filled = same = 0
+    for at in range(len(a) - each, -1, -each):
+        for x, y in zip(a[at : at + each], b[at : at + each]):
+            filled += bool(x or y)
+            same += x == y and x > 0
+        if filled >= enough:
+            break
+    return same / filled
 
 
 def edited(text: str, following: str) -> str:
