@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import release, settled
+
+__all__ = ["LOWER", "NOT_SPACE", "components", "crc_mod", "release", "settled", "slices", "split_words", "table"]
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java character class.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 #: A-Z to a-z, for bytes.translate.
@@ -21,38 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="lodestone-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def settled(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there and a lost executor costs nothing.
-
-    The tables stay until `release` is called or the folder is emptied.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Removes every table that `settled` wrote in this application; results that still read them end."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(col: str | Column, n: int) -> Column:
     """crc32 of the column's decimal text mod n; null stays null."""
     return F.crc32((F.col(col) if isinstance(col, str) else col).cast("string")) % n
