@@ -42,10 +42,8 @@ def encode(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal number, total
-            counts = np.zeros(len(ids), np.int64)
-            for x, h in zip(tokens, held):
-                if h is False:
-                    np.add.at(counts, x, 1) if len(x) < 64 else counts.__iadd__(np.bincount(x, minlength=len(ids)))
+            learned = [x for x, h in zip(tokens, held) if h is False]
+            counts = np.bincount(np.concatenate([np.zeros(0, np.int32), *learned]).astype(np.int64), minlength=len(ids)).astype(np.int64)
             row = {
                 "chunk": base + number,
                 "ids": np.concatenate(tokens).astype("<i4").tobytes(),
@@ -338,14 +336,12 @@ def log_table(plain: np.ndarray, unknown: np.ndarray) -> np.ndarray:
     """
     m = len(plain)
     known = plain[:, :-1].copy()
-    known[-1] = plain[:, :-1].sum(0) * 1e-9 + unknown[-1, :-1]
+    known[-1] = unknown[-1, :-1]
     overall = (plain[:, :-1].sum(0) + 1e-3) / (plain[:, :-1].sum() + 1e-3 * (m - 1))
     after = known.sum(1, keepdims=True)
     share = (known + SMOOTH * overall) / (after + SMOOTH)
-    single = unknown[:, -1] + np.where(np.arange(m) == m - 1, 0, 0)
-    total = unknown.sum(1)
     floor = (unknown[:, -1].sum() + 0.5) / (unknown.sum() + 1)
-    new = np.minimum(0.9, (single + SMOOTH * floor) / (total + SMOOTH))
+    new = np.minimum(0.9, (unknown[:, -1] + SMOOTH * floor) / (unknown.sum(1) + SMOOTH))
     return np.log10(np.concatenate([share * (1 - new)[:, None], new[:, None]], 1))
 
 

@@ -44,7 +44,7 @@ def test_pieces_are_an_exact_round_trip(spark):
             at += r.length
         assert at <= 2048 and at & (at - 1) == 0
     again = pack_documents(docs.repartition(2), PATH, group_tokens=9000).collect()
-    assert sorted(map(str, again)) == sorted(map(str, rows)) or len(again) > 0
+    assert sum(r.length for r in again) == sum(r.length for r in rows)
 
 
 @pytest.mark.parametrize("seed", range(20))
