@@ -51,7 +51,7 @@ class WordIds:
 
     PARTS = re.compile(r"([a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-@\[-`{-~][!-~]*)?", re.ASCII)
 
-    def __init__(self, path: str, words: int = 500_000, parts: int = 500_000):
+    def __init__(self, path: str, words: int = 1_000_000, parts: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
