@@ -17,8 +17,6 @@ from lodestone.llm.common import settled, slices, split_words, table
 
 #: The band: terms that at least RAREST and at most COMMONEST of the documents hold (idf ln 500 down to ln 5).
 RAREST, COMMONEST = 1 / 500, 1 / 5
-#: The lexicon keeps at most so many terms of the band, the most frequent first.
-MOST_TERMS = 200_000
 #: EACH subsets at each share of the lexicon: dense ones tell small edits apart, sparse ones survive large edits. A subset says most of a text
 #: of which it holds about one term, so shares go down to where that is so for long texts.
 EACH, ENOUGH = 6, 12
@@ -55,8 +53,8 @@ def _count(docs: DataFrame, keep: Callable[[Counter, int], list[tuple[bytes, int
     return docs.select(F.col("text").cast("binary").alias("t")).mapInArrow(run, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST, most: int = MOST_TERMS) -> list[bytes]:
-    """The band's terms in order, from exact document frequencies over all documents.
+def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> list[bytes]:
+    """The band's terms in order, from exact document frequencies over all documents: at most 1 / rarest times the mean number of distinct terms.
 
     First each chunk names the terms that rarest / 2 of its documents hold. A term that rarest of all hold must have been named for at least
     half its documents, so what was named for rarest / 2 of all documents is all that need be counted: at most 2 / rarest times
@@ -66,7 +64,7 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
     total = named.where("term is null").agg(F.sum("df")).first()[0] or 0
     likely = frozenset(bytes(r.term) for r in named.where("term is not null").where(F.col("df") >= rarest / 2 * total).select("term").collect())
     exact = _count(docs, lambda seen, n: list(seen.items()), likely).where("term is not null")
-    band = exact.where((F.col("df") >= rarest * total) & (F.col("df") <= commonest * total)).orderBy(F.desc("df"), "term").limit(most)
+    band = exact.where((F.col("df") >= rarest * total) & (F.col("df") <= commonest * total))
     return sorted(bytes(r.term) for r in band.select("term").collect())
 
 

@@ -56,3 +56,8 @@ def test_one_row_and_none(spark):
     assert fingerprints(spark.createDataFrame([], schema)).count() == 0
     (r,) = fingerprints(spark.createDataFrame([(3, "abcd")], schema)).collect()
     assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and r.near_next == 1.0
+
+
+def test_lexicon_holds_the_whole_band(spark):
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(45_000))) for i in range(5)]
+    assert len(lexicon(spark.createDataFrame(rows, "doc_id long, text string"))) == 225_000
