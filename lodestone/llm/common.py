@@ -37,7 +37,7 @@ def slices(batch, rows: int = 256) -> Iterator:
         yield batch.slice(at, rows)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges (long, long) as rows (node, root), root the smallest node.
 
     Large-star and small-star steps in turn, each round settled; stops once a round changes nothing.
@@ -51,9 +51,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = mark(now)
-    for _ in range(most):
-        if not before[0]:
-            break
+    while before[0]:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -3,6 +3,7 @@ import random
 import pytest
 import xxhash
 
+from lodestone.llm import common
 from lodestone.llm.simhash import links, near_duplicates
 
 
@@ -85,3 +86,9 @@ def test_links_give_the_components_of_all_close_pairs(spark, most, crowd):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_components_go_on_until_settled(spark, monkeypatch):
+    monkeypatch.setattr(common, "range", lambda n: [0], raising=False)  # a bound on the rounds would end them here
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.root for r in common.components(edges).collect()} == {0}
