@@ -18,11 +18,12 @@ from lodestone.llm.common import crc_mod, settled, slices, split_words, table
 from lodestone.llm.hashing import sums
 
 CLASSES = 32
-#: Words with at least 1/CORE of all training tokens are clustered together; there can be no more than CORE of them.
+#: So many words, the most frequent first, are clustered together on the driver.
 CORE = 2000
 CHUNK_TOKENS = 1 << 21
 SINGLE = 64  # added to a token's state if its word came once in training
 SMOOTH = 5.0
+SETTLED = 1e-4  # of the log likelihood: rounds that gain no more are the last
 
 
 def encode(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -181,44 +182,40 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = 15) -> tup
     return of[:words], n
 
 
-def assign(chunks: DataFrame, core: dict[bytes, int], counts: np.ndarray) -> DataFrame:
-    """(word, cls) of the other training words: each makes one exchange move, given the core's classes beside its occurrences.
-
-    The move's gain is taken to first order, a sum over neighbours of log N(c, b) / N(b), so that rows of a word from several
-    chunks add up. Words beside no core word have no row.
-    """
-    k = len(counts)  # classes and the end
+def _beside(words: list[bytes], side: np.ndarray, word: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(word, codes, n) of a chunk: the classes before each word, and k more those after it, with counts; below 0: no class, no word."""
+    left, right = (word[1:] >= 0) & (side[:-1] >= 0), (word[:-1] >= 0) & (side[1:] >= 0)
+    keys = np.concatenate([word[1:][left] * 2 * k + side[:-1][left], word[:-1][right] * 2 * k + k + side[1:][right]])
+    keys, n = np.unique(keys, return_counts=True)
+    codes, n = (keys % (2 * k)).astype(np.uint8), n.astype("<i4")
+    which, starts = np.unique(keys // (2 * k), return_index=True)
+    bounds = np.append(starts, len(keys))
+    for at in range(0, len(which), 50_000):
+        own = which[at : at + 50_000]
+        edge = bounds[at : at + len(own) + 1]
+        part = slice(edge[0], edge[-1])
+        offsets = (edge - edge[0]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([words[i] for i in own], pa.binary()),
+                pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(codes[part].tobytes())]),
+                pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets * 4), pa.py_buffer(n[part].tobytes())]),
+            ],
+            ["word", "codes", "n"],
+        )
+
+
+def _gains(counts: np.ndarray) -> np.ndarray:
+    """For each code of `_beside` the gain of each class, to first order."""
     joint = counts[:, :-1] + 0.1
     to = np.log(joint / joint.sum(0, keepdims=True))
     back = counts[:-1].T + 0.1
-    back = np.log(back / back.sum(0, keepdims=True))
-    gains = np.concatenate([to, back])  # code -> gain for each class
+    return np.concatenate([to, np.log(back / back.sum(0, keepdims=True))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            words = _words(row)
-            value = np.fromiter((core.get(w, -1) for w in words), np.int64)
-            local = np.where(value >= 0, -1, np.arange(len(words)))
-            side, word = _stream(row, value, k - 1), _stream(row, local, -1)
-            left, right = (word[1:] >= 0) & (side[:-1] >= 0), (word[:-1] >= 0) & (side[1:] >= 0)
-            keys = np.concatenate([word[1:][left] * 2 * k + side[:-1][left], word[:-1][right] * 2 * k + k + side[1:][right]])
-            keys, n = np.unique(keys, return_counts=True)
-            codes, n = (keys % (2 * k)).astype(np.uint8), n.astype("<i4")
-            which, starts = np.unique(keys // (2 * k), return_index=True)
-            bounds = np.append(starts, len(keys))
-            for at in range(0, len(which), 50_000):
-                own = which[at : at + 50_000]
-                edge = bounds[at : at + len(own) + 1]
-                part = slice(edge[0], edge[-1])
-                offsets = (edge - edge[0]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([words[i] for i in own], pa.binary()),
-                        pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(codes[part].tobytes())]),
-                        pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets * 4), pa.py_buffer(n[part].tobytes())]),
-                    ],
-                    ["word", "codes", "n"],
-                )
+
+def _best(found: DataFrame, gains: np.ndarray) -> DataFrame:
+    """(word, cls) of rows (word, codes, n): the class of most gain, over all rows of a word."""
+    k = gains.shape[1] + 1
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, score = None, np.zeros(k - 1)
@@ -243,8 +240,73 @@ def assign(chunks: DataFrame, core: dict[bytes, int], counts: np.ndarray) -> Dat
         if word is not None:
             yield pa.RecordBatch.from_arrays([pa.array([word], pa.binary()), pa.array([int(score.argmax())], pa.int32())], ["word", "cls"])
 
+    return found.select("word", "codes", "n").repartition("word").sortWithinPartitions("word").mapInArrow(best, "word binary, cls int")
+
+
+def neighbours(chunks: DataFrame, looked_up: DataFrame, k: int) -> DataFrame:
+    """(word, codes, n) as `_beside` gives them, of all training words beside all training words.
+
+    looked_up: (chunk, id, c, cls) of every word; the class k - 1 is the end's.
+    """
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = right.column("id").to_numpy()
+        cls = np.full(int(at.max()) + 1 if len(at) else 0, -1, np.int64)
+        cls[at] = right.column("cls").to_numpy()
+        out = []
+        for row in left.to_pylist():
+            words = _words(row)
+            out += _beside(words, _stream(row, cls, k - 1), _stream(row, np.arange(len(words)), -1), k)
+        return pa.Table.from_batches(out, pa.schema([("word", pa.binary()), ("codes", pa.binary()), ("n", pa.binary())]))
+
+    right = looked_up.select(F.col("chunk").alias("of"), "id", "cls").groupBy("of")
+    left = chunks.select("chunk", "ids", "lengths", "held_out", "words", "counts").groupBy("chunk")
+    return left.cogroup(right).applyInArrow(meet, "word binary, codes binary, n binary")
+
+
+def class_pairs(found: DataFrame, classed: DataFrame, k: int) -> np.ndarray:
+    """Counts of neighbouring classes, the end's last, from `neighbours` and the words' classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            codes = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
+            n = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i4")
+            own = np.repeat(batch.column(2).to_numpy(), pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False))
+            first, after = codes == k - 1, codes >= k
+            total += np.bincount(own[after] * k + codes[after] - k, n[after], k * k).astype(np.int64)
+            total += np.bincount((k - 1) * k + own[first], n[first], k * k).astype(np.int64)
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "n"])
+
+    out = np.zeros(k * k)
+    rows = found.join(classed.select("word", "cls").hint("merge"), "word").select("codes", "n", "cls")
+    for r in rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+        out[r[0]] = r[1]  # at most k^2 rows
+    return out.reshape(k, k)
+
+
+def _likelihood(n: np.ndarray) -> float:
+    return float(_nlogn(n).sum() - _nlogn(n.sum(0)).sum() - _nlogn(n.sum(1)).sum())
+
+
+def assign(chunks: DataFrame, core: dict[bytes, int], counts: np.ndarray) -> DataFrame:
+    """(word, cls) of the other training words: each makes one exchange move, given the core's classes beside its occurrences.
+
+    The move's gain is taken to first order, a sum over neighbours of log N(c, b) / N(b), so that rows of a word from several
+    chunks add up. Words beside no core word have no row.
+    """
+    k = len(counts)  # classes and the end
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words = _words(row)
+            value = np.fromiter((core.get(w, -1) for w in words), np.int64)
+            local = np.where(value >= 0, -1, np.arange(len(words)))
+            side, word = _stream(row, value, k - 1), _stream(row, local, -1)
+            yield from _beside(words, side, word, k)
+
     found = chunks.select("ids", "lengths", "held_out", "words", "counts").mapInArrow(run, "word binary, codes binary, n binary")
-    return found.repartition("word").sortWithinPartitions("word").mapInArrow(best, "word binary, cls int")
+    return _best(found, _gains(counts))
 
 
 @dataclass
@@ -362,7 +424,7 @@ def score_documents(docs: DataFrame, mod: int = 5, held: int = 1, classes: int =
     documents = chunks.select(F.explode("held_out").alias("h")).where("not h").count()
     n, v = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     totals = Totals((n or 0) + documents, (v or 0) + (documents > 0), documents, np.zeros(classes))
-    frequent = sorted(bytes(r.word) for r in words.where(F.col("c") * core >= totals.tokens).where("c > 0").collect())  # at most `core` rows
+    frequent = sorted(bytes(r.word) for r in words.where("c > 0").orderBy(F.desc("c"), "word").limit(core).collect())  # at most `core` rows
     index = {w: i for i, w in enumerate(frequent)}
     of, counts = exchange(core_pairs(chunks, index), classes)
     by_core = {w: int(of[i]) for w, i in index.items()}
@@ -372,6 +434,18 @@ def score_documents(docs: DataFrame, mod: int = 5, held: int = 1, classes: int =
         fixed = docs.sparkSession.createDataFrame([(bytearray(w), c) for w, c in by_core.items()], "word binary, cls int")
         moved = moved.union(fixed)
     classed = settled(words.join(moved, "word", "left").select("word", "c", F.coalesce("cls", F.lit(usual)).alias("cls")))
+    best = None
+    while documents:  # the others move on, given all words' classes, for as long as the likelihood grows
+        found = settled(neighbours(chunks, spoken.select("chunk", "id", "word").join(classed.where("c > 0"), "word"), classes + 1))
+        counts = class_pairs(found, classed, classes + 1)
+        if best is not None and _likelihood(counts) <= best[0] + SETTLED * abs(best[0]):
+            classed = classed if _likelihood(counts) > best[0] else best[1]
+            break
+        best = _likelihood(counts), classed
+        moved = _best(found, _gains(counts)).withColumnRenamed("cls", "new")
+        if by_core:
+            moved = moved.join(F.broadcast(fixed.select("word")), "word", "left_anti")
+        classed = settled(classed.join(moved, "word", "left").select("word", "c", F.coalesce("new", "cls").alias("cls")))
     for r in classed.groupBy("cls").agg(F.sum("c").alias("n")).collect():
         totals.classes[r.cls] = r.n
     scored = settled(states(chunks, spoken.select("chunk", "id", "word").join(classed, "word"), totals))

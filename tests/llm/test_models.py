@@ -90,6 +90,15 @@ def test_exchange_never_lowers_the_likelihood():
             assert likelihood(other)[0] <= best + 1e-6
 
 
+def test_classes_of_words_that_are_all_rare(spark):
+    rng = random.Random(9)
+    odd, even = ([f"{x}{i}" for i in range(60)] for x in "oe")
+    rows = [(i, " ".join(rng.choice((odd, even)[j % 2]) for j in range(40))) for i in range(300)]
+    got = brown.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), classes=2, core=20, chunk_tokens=3000).collect()
+    held = [r for r in got if r.held_out]  # to know a word's kind is worth log10 2 a token
+    assert sum(r.score - r.base_score for r in held) > 0.25 * sum(r.n_tokens for r in held)
+
+
 def test_lm_without_training_rows(spark):
     i = next(i for i in range(100) if crc(i, 5) == 1)
     (r,) = brown.score_documents(spark.createDataFrame([(i, "a b")], "doc_id long, text string")).collect()
