@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import release, settled
 
-__all__ = ["LOWER", "NOT_SPACE", "components", "crc_mod", "release", "settled", "slices", "split_words", "table"]
+__all__ = ["LOWER", "NOT_SPACE", "components", "crc_mod", "discard", "release", "settled", "slices", "split_words", "table"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java character class.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,15 @@ def slices(batch, rows: int = 256) -> Iterator:
         yield batch.slice(at, rows)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing will read again; what was made of them must be settled by then."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for at in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges (long, long) as rows (node, root), root the smallest node.
 
