@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lodestone.llm import brown, langid, quality, toxicity
@@ -204,5 +205,121 @@ def test_toxicity_of_held_out_texts(spark):
     assert toxicity.toxicity(df.limit(0), marks).count() == 0
 
 
+def labelled_texts(rng, rows=600):
+    insults = "grobian scumlord wretchedly numbskull".split()
+    out, labels = [], []
+    for i, t, _ in corpus(rng, rows):
+        y = int(rng.random() < 0.25)
+        ws = t.split()
+        for _ in range(3 * y):
+            ws.insert(rng.randrange(len(ws)), rng.choice(insults))
+        out.append((i, " ".join(ws), None))
+        labels.append((i, y))
+    return out, labels
+
+
+def test_toxicity_scores_match_window_lengths_worked_out_plainly(spark):
+    rows, labels = labelled_texts(random.Random(13))
+    truth = dict(labels)
+    model = toxicity.train([(t.encode(), truth[i]) for i, t, _ in rows if crc(i, 3) != 1])
+    assert len(model.curve) and b"grobian" in model.toxic and b"grobian" not in model.ordinary
+    options = dict(strategy=zstandard.STRATEGY_LAZY2, min_match=4, window_log=17, hash_log=15, chain_log=15, search_log=5, target_length=8, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def length(content, window):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=zstandard.ZstdCompressionParameters(**options)).compress(window))
+
+    def plain_score(text):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+        saved, at = [], 0
+        while words:
+            window = (" " + " ".join(words[at : at + 4]) + " the of and in ").encode()
+            saved.append(length(model.ordinary, window) - length(model.toxic + model.ordinary, window))
+            at += 2
+            if at + 2 >= len(words):
+                break
+        n = [sum(x >= s for x in saved) for s in (2, 4, 6)]
+        inputs = [1, *(math.log(1 + x) for x in n), *(math.log((x + 0.05) / (len(saved) + 20)) for x in n), math.log(1 + len(saved))]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(inputs, model.curve))))
+
+    some = [*rows[:60], *((i, t, None) for i, t in ODD if len(t or "") < 1000), (8000, "one", None), (8001, "One two three four five", None), (8002, "a b c d e f", None)]
+    got = toxicity.score(frame(spark, some), model).collect()
+    assert Counter((r.doc_id, round(r.score, 9)) for r in got) == Counter((i, round(plain_score(t), 9)) for i, t, _ in some)
+
+
+def test_columns_of_the_same_names_as_results_are_ignored(spark):
+    rows, labels = labelled_texts(random.Random(14), 200)
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clash = plain.selectExpr("*", "doc_id as k", "'a' as y", "0.5 as score", "1 as predicted", "'t' as t", "true as held_out", "3 as h")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int").selectExpr("*", "toxic as quality", "'x' as text", "1 as k", "2 as score")
+    for operator in (toxicity.toxicity, quality.quality):
+        assert sorted(map(tuple, operator(clash, marks).collect())) == sorted(map(tuple, operator(plain, marks.select("doc_id", "toxic", "quality")).collect()))
+
+
+def test_quality_scores_match_a_plain_sum_over_features(spark):
+    rows, labels = labelled_texts(random.Random(15), 150)
+    truth = dict(labels)
+    model = quality.train([(t.encode(), truth[i]) for i, t, _ in rows if crc(i, 5) != 0], epochs=2)
+    mask, golden = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def bucket(code, kind):
+        x = (code + kind * 0x51ED270B + 1) * golden & mask
+        x ^= x >> 29
+        return (x * golden & mask) >> (64 - quality.BITS)
+
+    def code_of(word, base=1_000_003, start=0, one=1):
+        code = start
+        for c in word:
+            code = (code * base + c + one) & mask
+        return code
+
+    def plain_score(text):
+        words = (text or "").encode().split()
+        found = []
+        for w in words:
+            m = b"<" + w + b">"
+            found.append(bucket(code_of(m, start=len(m)), 0))
+            found += [bucket(code_of(m[i : i + n], 257, 0, 0), n) for n in quality.GRAMS for i in range(len(m) - n + 1)]
+        codes = [code_of(w, start=len(w)) for w in words]
+        found += [bucket(1 if a == b else (a * 31 + b) & mask, quality.BIGRAM) for a, b in zip(codes, codes[1:])]
+        logit = (model.always + sum(float(model.gain[i]) for i in found)) / (1 + len(found))
+        return 1 / (1 + math.exp(-logit))
+
+    some = [*rows[:40], *((i, t, None) for i, t in ODD if len(t or "") < 1000), (8003, "same same same other", None)]
+    got = quality.score(frame(spark, some), model).collect()
+    assert Counter((r.doc_id, round(r.score, 9)) for r in got) == Counter((i, round(plain_score(t), 9)) for i, t, _ in some)
+
+
+def test_quality_training_is_plain_gradient_descent():
+    rows, dims, epochs, rate = [(b"good good text", 1), (b"bad text", 0), (b"good", 1)], 4, 3, 0.6
+    got = quality.train(rows, dims=dims, epochs=epochs, rate=rate, seed=5)
+    rng = np.random.default_rng(5)
+    size = 1 << quality.BITS
+    vectors = rng.uniform(-1 / dims, 1 / dims, (size + 1, dims)).astype(np.float32)
+    start, moved, out = vectors.copy(), set(), [[0.0] * dims, [0.0] * dims]
+    done, steps = 0, epochs * len(rows)
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            words, y = rows[i][0].split(), rows[i][1]
+            ids = [int(x) for w in words for x in quality.features([b"<" + w + b">"], quality.BITS, quality.GRAMS)[0]]
+            ids += [int(quality._pairs(quality.word_codes([a, b]))[0]) for a, b in zip(words, words[1:])] + [size]
+            share = {x: n / len(ids) for x, n in Counter(ids).items()}
+            hidden = [sum(w * float(vectors[x][d]) for x, w in share.items()) for d in range(dims)]
+            logits = [sum(o * h for o, h in zip(row, hidden)) for row in out]
+            p = [math.exp(z - max(logits)) for z in logits]
+            p = [z / sum(p) - (j == y) for j, z in enumerate(p)]
+            step, square = rate * (1 - done / steps), max(sum(w * w for w in share.values()), 1e-3)
+            back = [p[0] * out[0][d] + p[1] * out[1][d] for d in range(dims)]
+            out = [[out[j][d] - step * p[j] * hidden[d] for d in range(dims)] for j in (0, 1)]
+            for x, w in share.items():
+                moved.add(x)
+                for d in range(dims):
+                    vectors[x][d] -= step * w / square * back[d] * 0.05
+            done += 1
+    want = vectors.astype(float) @ (np.array(out[1]) - np.array(out[0]))
+    assert np.allclose(got.gain, want[:-1], atol=1e-6) and math.isclose(got.always, want[-1], abs_tol=1e-6)
+    assert any((vectors[x] != start[x]).any() for x in moved)
+
+
 def test_sums_of_runs():
     assert sums(np.arange(6.0), np.array([2, 0, 3, 1, 0])).tolist() == [1.0, 0.0, 9.0, 5.0, 0.0]
