@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import release, settled
 
-__all__ = ["LOWER", "NOT_SPACE", "components", "crc_mod", "discard", "release", "settled", "slices", "split_words", "table"]
+__all__ = ["LOWER", "NOT_SPACE", "components", "crc_mod", "discard", "joined_apart", "release", "settled", "slices", "split_words", "table"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java character class.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -46,6 +46,19 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A value is hot if it has this share of all rows or more, so at most HOT values are: rows of those can be broadcast.
+HOT = 1000
+
+
+def joined_apart(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right, which has a key once, whatever part of left has one key: rows of hot keys stay where they are, the others are
+    shuffled. left is read several times."""
+    per = settled(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    total = per.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(per.where(F.col("n") * HOT >= total).select(key))
+    return left.join(hot, key, "left_anti").join(right.hint("merge"), key).unionByName(left.join(F.broadcast(right.join(hot, key, "left_semi")), key))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges (long, long) as rows (node, root), root the smallest node.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import settled, table
+from lodestone.llm.common import joined_apart, settled, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' patterns. A run of characters can only match from its start or from where the last match ended, so nothing is tried twice:
@@ -27,6 +28,16 @@ CONTEXT = 64
 STEP = 256
 
 
+def _let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x) with x worked out once, not anew wherever a lambda names it."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
+def _runs(x: Column) -> Column:
+    """An array in runs of STEP."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / STEP).cast("int")), lambda b: F.slice(x, b * STEP + 1, STEP))
+
+
 def running(lengths: Column) -> Column:
     """Sums of all elements before each: by runs of STEP, so that long arrays don't cost the square of their length."""
 
@@ -98,18 +109,24 @@ def candidates(df: DataFrame) -> DataFrame:
     """
     df = matches(df, "_cand", CANDIDATE, F.col("text").rlike("[0-9@]"), sides=True)
 
-    def one(c: Column) -> Column:
-        over = F.filter("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    def bounded(run: Column) -> Column:
+        return F.struct(run.alias("spans"), F.element_at(run, 1)["start"].alias("low"), F.array_max(F.transform(run, lambda b: b["end"])).alias("high"))
+
+    def one(c: Column, runs: Column) -> Column:
+        near = F.filter(runs, lambda r: (r["low"] < c["end"]) & (r["high"] > c["start"]))
+        over = F.flatten(F.transform(near, lambda r: F.filter(r["spans"], lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))))
         word = F.regexp_extract(c["match"], r"^[^\p{L}0-9+(]*(.*?)[^\p{L}0-9]*$", 1)
         skipped = F.length(F.regexp_extract(c["match"], r"^[^\p{L}0-9+(]*", 0))
         start = (c["start"] + skipped).alias("start")
         two = _edge_word(c["left"], r"(\S+\s+\S+)\s*$", 1)
         last, first = _edge_word(c["left"], r"(\S+)\s*$", 1), _edge_word(c["right"], r"^\s*(\S+)", 1)
         named = F.array(F.when(F.trim(two) != "", F.concat(F.lit("before "), two)), F.when((F.trim(last) != "") & (F.trim(first) != ""), F.concat_ws(" # ", last, first)))
-        seed = F.when(F.size(over) > 0, F.element_at(over, 1)["kind"]).alias("seed")
+        seed = F.try_element_at(F.transform(over, lambda b: b["kind"]), F.lit(1)).alias("seed")
         return F.struct(start, (start + F.length(word)).alias("end"), word.alias("match"), seed, F.filter(named, lambda p: p.isNotNull()).alias("patterns"))
 
-    return df.withColumn("cands", F.filter(F.transform("_cand", one), lambda c: c["end"] > c["start"])).drop("_cand")
+    runs = F.when(F.size("base") > 0, F.transform(_runs(F.col("base")), bounded)).otherwise(F.array().cast("array<struct<spans:array<struct<start:int,kind:int,end:int>>,low:int,high:int>>"))
+    found = _let(runs, lambda r: F.transform("_cand", lambda c: one(c, r)))
+    return df.withColumn("cands", F.filter(found, lambda c: c["end"] > c["start"])).drop("_cand")
 
 
 def bootstrap(edges: DataFrame, rounds: int = 3, support: float = 3.0, accept: float = 0.8) -> DataFrame:
@@ -117,7 +134,8 @@ def bootstrap(edges: DataFrame, rounds: int = 3, support: float = 3.0, accept: f
 
     edges: (pattern, match, seed), distinct. A pattern's confidence for a kind is the sum of its instances' confidences over one more than
     their number, none below `support`; an instance that no rule found has the noisy-or of its patterns. Seeds
-    stay at 1 for their kind, 0 for others. Both sides are group-by sums, so a hot pattern or instance is pre-aggregated.
+    stay at 1 for their kind, 0 for others. Both sides are group-by sums, which are pre-aggregated; a hot pattern's or instance's links are not dealt to one
+    task for the joins either (`joined_apart`).
     """
     cols = [f"c{k}" for k in range(len(KINDS))]
     seeds = edges.groupBy("match").agg(*(F.max(F.when(F.col("seed") == k, 1.0).otherwise(0.0)).alias(c) for k, c in enumerate(cols)), F.max(F.col("seed").isNotNull()).alias("known"))
@@ -125,10 +143,10 @@ def bootstrap(edges: DataFrame, rounds: int = 3, support: float = 3.0, accept: f
     links = settled(edges.select("pattern", "match").distinct())
     now = seeds
     for _ in range(rounds):
-        by_pattern = links.join(now, "match").groupBy("pattern").agg(*(F.sum(c).alias(c) for c in cols), F.count("*").alias("n"))
+        by_pattern = joined_apart(links, now, "match").groupBy("pattern").agg(*(F.sum(c).alias(c) for c in cols), F.count("*").alias("n"))
         by_pattern = by_pattern.select("pattern", *(F.when(F.col(c) >= support, F.col(c) / (F.col("n") + 1)).otherwise(0.0).alias(c) for c in cols))
         strong = by_pattern.where(reduce(lambda a, b: a | b, (F.col(c) > 0 for c in cols)))
-        reached = links.join(strong, "pattern").groupBy("match").agg(*((1 - F.exp(F.sum(F.log1p(-F.col(c))))).alias(f"n{c}") for c in cols))
+        reached = joined_apart(links, settled(strong), "pattern").groupBy("match").agg(*((1 - F.exp(F.sum(F.log1p(-F.col(c))))).alias(f"n{c}") for c in cols))
         rescored = [F.when(F.col("known"), F.col(c)).otherwise(F.coalesce(f"n{c}", F.lit(0.0))).alias(c) for c in cols]
         now = settled(seeds.join(reached, "match", "left").select("match", *rescored, "known"))
     best = F.greatest(*cols)
@@ -149,7 +167,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     each = found.select("row", F.explode("cands").alias("c")).select("row", "c.*")
     edges = each.select(F.explode("patterns").alias("pattern"), "match", "seed").distinct()
     unseen = bootstrap(edges)
-    new = each.where("seed is null").join(unseen, "match").select("row", F.struct("start", "kind", "end").alias("span"))
+    new = joined_apart(each.where("seed is null"), settled(unseen), "match").select("row", F.struct("start", "kind", "end").alias("span"))
     by_row = new.groupBy("row").agg(F.collect_set("span").alias("added"))  # at most the candidates of one text
     some = found.where(F.size("cands") > 0).join(by_row, "row", "left")
     names = [F.col(f"_doc_{c}").alias(c) for c in keep]
@@ -163,24 +181,34 @@ def joined(spans: str) -> Column:
 
 
 def redacted(text: Column, spans: str) -> Column:
-    """The text with its spans replaced by [EMAIL], [IP], ...; of spans that overlap the first gives the name, and all are covered."""
+    """The text with its spans, ordered by start, replaced by [EMAIL], [IP], ...; of spans that overlap the first gives the name, and all are covered.
+
+    Time is in proportion to the text and the number of spans, but for a factor of STEP: runs of spans look at their part of the text only.
+    """
     kind = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when((F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]), F.concat(head, F.array(longer))).otherwise(F.concat(acc, F.array(s)))
-
-    merged = F.aggregate(spans, empty, merge)
-    piece = lambda s, i: F.concat(
-        F.substring(text, F.coalesce(F.try_element_at(merged, i)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.try_element_at(merged, i)["end"], F.lit(0))),
-        F.element_at(kind, s["kind"] + 1),
-    )
-    pieces = F.transform(merged, lambda s, i: F.when(i == 0, F.concat(F.substring(text, F.lit(1), s["start"]), F.element_at(kind, s["kind"] + 1))).otherwise(piece(s, i)))
-    tail = F.substring(text, F.element_at(merged, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), tail))
+
+    def reach(run: Column, start: Column) -> Column:
+        """start, and then the greatest end up to and with each span."""
+        return F.aggregate(run, F.array(start), lambda acc, s: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), s["end"]))))
+
+    def heads(all_: Column) -> Column:
+        """(start, kind, prev) of spans that begin beyond all ends before, prev the last of these."""
+        runs = _runs(all_)
+        starts = lambda highs: F.transform(highs, lambda _, i: F.array_max(F.concat(F.array(F.lit(0)), F.slice(highs, 1, i))))
+        from_ = _let(F.transform(runs, lambda r: F.array_max(F.transform(r, lambda s: s["end"]))), starts)
+        marked = F.zip_with(runs, from_, lambda r, a: F.zip_with(r, F.slice(reach(r, a), 1, F.size(r)), lambda s, p: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), p.alias("prev"))))
+        return F.filter(F.flatten(marked), lambda h: h["start"] >= h["prev"])
+
+    def piece(part: Column, base: Column, h: Column) -> Column:
+        return F.concat(F.substring(part, h["prev"] - base + 1, h["start"] - h["prev"]), F.element_at(kind, h["kind"] + 1))
+
+    def joined_run(run: Column) -> Column:
+        base, last = F.element_at(run, 1)["prev"], F.element_at(run, -1)["start"]
+        return _let(F.substring(text, base + 1, last - base), lambda part: F.array_join(F.transform(run, lambda h: piece(part, base, h)), ""))
+
+    body = _let(heads(F.col(spans)), lambda hs: F.array_join(F.transform(_runs(hs), joined_run), ""))
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(body, F.substring(text, end + 1, F.length(text))))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

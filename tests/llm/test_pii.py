@@ -1,10 +1,12 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from lodestone.llm.pii import KINDS, find, joined, redacted
+from lodestone.llm.pii import KINDS, bootstrap, find, joined, redacted
 
 #: The rules as plainly stated.
 PLAIN = {
@@ -76,3 +78,61 @@ def test_redaction(spark):
 def test_empty_table(spark):
     assert find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for s, k, e in spans:
+        if s >= at:
+            out += [text[at:s], f"[{KINDS[k].upper()}]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_of_many_and_overlapping_spans(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abé 😀") for _ in range(3000))
+    cases = []
+    for n in (1, 2, 255, 256, 257, 700):
+        spans = sorted((s := rng.randrange(2900), rng.randrange(4), s + rng.randrange(1, 40)) for _ in range(n))
+        cases.append((text, spans))
+    cases.append(("a@b.c " * 10_000, [(6 * i, 0, 6 * i + 5) for i in range(10_000)]))
+    df = spark.createDataFrame(cases, "text string, spans array<struct<start:int,kind:int,end:int>>")
+    began = time.time()
+    got = [r.t for r in df.select(redacted(F.col("text"), "spans").alias("t")).collect()]
+    assert got == [plain_redaction(*c) for c in cases]
+    assert time.time() - began < 30
+
+
+def test_finding_in_a_text_of_many_spans(spark):
+    ((base, spans),) = find(spark.createDataFrame([(1, "x a@b.c 1.2.3.4 " * 5000)], "doc_id long, text string")).select(F.size("base"), F.size("spans")).collect()
+    assert (base, spans) == (10_000, 10_000)
+
+
+def plain_bootstrap(edges, rounds=3, support=3.0, accept=0.8):
+    seeds, by_match, by_pattern = {}, {}, {}
+    for p, m, s in edges:
+        by_match.setdefault(m, set()).add(p)
+        by_pattern.setdefault(p, set()).add(m)
+        own = seeds.setdefault(m, [[0.0] * len(KINDS), False])
+        if s is not None:
+            own[0][s], own[1] = 1.0, True
+    now = {m: list(c) for m, (c, _) in seeds.items()}
+    for _ in range(rounds):
+        strong = {}
+        for p, ms in by_pattern.items():
+            sums = [sum(now[m][k] for m in ms) for k in range(len(KINDS))]
+            strong[p] = [x / (len(ms) + 1) if x >= support else 0.0 for x in sums]
+        for m, (c, known) in seeds.items():
+            if not known:
+                now[m] = [1 - math.prod(1 - strong[p][k] for p in by_match[m]) for k in range(len(KINDS))]
+    return {(m, c.index(max(c))) for m, c in now.items() if not seeds[m][1] and max(c) >= accept}
+
+
+def test_bootstrap_matches_the_plain_rounds(spark):
+    rng = random.Random(12)
+    edges = {(f"p{min(rng.randrange(12), rng.randrange(30))}", f"m{i}", None if i % 4 == 0 else i % 3) for i in range(400) for _ in range(2)}
+    edges |= {("hot", f"m{i}", None if i % 4 == 0 else i % 3) for i in range(0, 400, 3)} | {("sure", f"m{i}", 1 if i % 4 else None) for i in range(1, 90, 3)} | {("sure", "m8", None), ("sure", "m400", None)}
+    got = bootstrap(spark.createDataFrame(sorted(edges, key=str), "pattern string, match string, seed int"))
+    want = plain_bootstrap(edges)
+    assert want and {(r.match, r.kind) for r in got.collect()} == want

@@ -92,3 +92,28 @@ def test_components_go_on_until_settled(spark, monkeypatch):
     monkeypatch.setattr(common, "range", lambda n: [0], raising=False)  # a bound on the rounds would end them here
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {r.root for r in common.components(edges).collect()} == {0}
+
+
+def test_a_hot_key_is_joined_where_it_lies(spark):
+    left = spark.range(5000).selectExpr("if(id % 3 = 0, -1, id) as key", "id")
+    right = spark.range(-1, 4000).selectExpr("id as key", "id * 2 as twice")
+    got = common.joined_apart(left, right, "key")
+    assert sorted(map(tuple, got.select("key", "id", "twice").collect())) == sorted(map(tuple, left.join(right, "key").select("key", "id", "twice").collect()))
+    assert common.joined_apart(left.limit(0), right, "key").count() == 0
+
+
+def test_components_around_hubs(spark):
+    rng = random.Random(21)
+    edges = [(5000 if i % 2 else 3, i) for i in range(10, 900)] + [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(180)] + [(7000 + i, 7001 + i) for i in range(40)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {(n, find(n)) for e in edges if e[0] != e[1] for n in e}
+    assert {tuple(r) for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
