@@ -87,16 +87,101 @@ def shape(text: Column, name: Column) -> Column:
     return F.replace(text, name, F.lit("<name>"))
 
 
+def part_range(x: Column, part: str) -> Column:
+    """(start, length) of a declaration's part, in code points from 0.
+
+    header: up to the first `{`, else the first `=>`, else all, without white space at the end. body: what lies between the first `{` and the last `}`
+    (or the end, if none follows); else what follows the first `=>`, without a last `;`; else all. declaration: all.
+    """
+    size, brace, arrow = F.length(x), F.instr(x, "{") - 1, F.instr(x, "=>") - 1
+    if part == "declaration":
+        start, length = F.lit(0), size
+    elif part == "header":
+        cut = F.when(brace >= 0, brace).when(arrow >= 0, arrow).otherwise(size)
+        start, length = F.lit(0), F.length(F.regexp_replace(F.substring(x, F.lit(1), cut), r"(?U)\s+\z", ""))
+    elif part == "body":
+        last = size - F.instr(F.reverse(x), "}")
+        close = F.when(F.contains(x, F.lit("}")) & (last > brace), last).otherwise(size)
+        semicolon = F.when(F.endswith(x, F.lit(";")) & (size > arrow + 2), 1).otherwise(0)
+        start = F.when(brace >= 0, brace + 1).when(arrow >= 0, arrow + 2).otherwise(0)
+        length = F.when(brace >= 0, close - brace - 1).when(arrow >= 0, size - arrow - 2 - semicolon).otherwise(size)
+    else:
+        raise ValueError(f"no part {part}")
+    return F.struct(start.cast("int").alias("start"), length.cast("int").alias("length"))
+
+
+def _cut(x: Column, part: str) -> Column:
+    at = part_range(x, part)
+    return F.substring(x, at["start"] + 1, at["length"])
+
+
 def header(x: Column) -> Column:
-    """The text before its first `{`, or else before its first `=>`, or all of it."""
-    brace, arrow = F.instr(x, "{"), F.instr(x, "=>")
-    return F.when(brace > 0, F.substring(x, F.lit(1), brace - 1)).when(arrow > 0, F.substring(x, F.lit(1), arrow - 1)).otherwise(x)
+    return _cut(x, "header")
 
 
 def body(x: Column) -> Column:
-    """From the first `{` to the last `}`, both included; null if there is none."""
-    start, last = F.instr(x, "{"), F.length(x) - F.instr(F.reverse(x), "}") + 1
-    return F.when((start > 0) & (F.instr(x, "}") > 0) & (last > start), F.substring(x, start, last - start + 1))
+    return _cut(x, "body")
+
+
+def line_starts(x: Column) -> Column:
+    """Where each logical line begins, in code points from 0; the empty text has one line."""
+    parts = F.regexp_extract_all(x, F.lit(r"[^\r\n]*(?:\r\n|\r|\n)"), F.lit(0))
+    return F.element_at(F.transform(F.array(F.transform(parts, lambda p: F.length(p))), lambda found: _sums_before(found)), 1)
+
+
+def _sums_before(lengths: Column, step: int = 256) -> Column:
+    """0, and the sums up to and with each element; by runs, so that long arrays don't cost the square of their length."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / step).cast("int")), lambda b: F.struct(F.slice(lengths, b * step + 1, step).alias("own"), F.slice(lengths, 1, b * step).alias("before")))
+
+    def within(run: Column) -> Column:
+        start = F.aggregate(run["before"], F.lit(0), lambda s, n: s + n)
+        return F.aggregate(run["own"], F.array(start), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    # a run gives one more than it has: its own start, which is the end of the run before
+    return F.flatten(F.transform(runs, lambda r, i: F.when(i == 0, within(r)).otherwise(F.slice(within(r), 2, step))))
+
+
+def strip_break(x: Column) -> Column:
+    """A line without the break that ends it."""
+    return F.regexp_replace(x, r"(?:\r\n|\r|\n)\z", "")
+
+
+def context(x: Column, start_line: Column, end_line: Column, around: int) -> Column:
+    """The lines from `around` before the first to `around` after the last, breaks included; lines count from 1."""
+    parts = F.regexp_extract_all(x, F.lit(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\z"), F.lit(0))
+    first = F.greatest(F.lit(1), start_line - around)
+    return F.array_join(F.slice(parts, first, F.greatest(F.lit(0), end_line + around - first + 1)), "")
+
+
+def span_valid(x: Column, start: Column, length: Column, start_line: Column, end_line: Column) -> Column:
+    """Whether a span lies in the text and both of its line numbers are those of the text."""
+    inside = (start >= 0) & (length >= 0) & (start <= F.length(x) - length)
+    return F.when(inside, (line_of(x, start) == start_line) & (line_of(x, start + length) == end_line)).otherwise(False)
+
+
+def generated(path: Column) -> Column:
+    """Whether a path is that of generated source."""
+    # fixed values: endings and folder names of generated files
+    return path.rlike(r"(?i)(\.g\.cs$|\.designer\.cs$|\.generated\.cs$|/generated/|^generated/)")
+
+
+def keyed(kind: str, **parts: Column) -> Column:
+    """sha256 of a canonical JSON of named parts, names in order: texts trimmed, arrays sorted and distinct, nulls written."""
+    return digest(F.to_json(F.struct(F.lit(kind).alias("kind"), *(parts[n].alias(n) for n in sorted(parts))), {"ignoreNullFields": "false"}))
+
+
+def canonical(items: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(items, lambda x: F.trim(x))))
+
+
+def selection_key(*parts: Column) -> Column:
+    """The digest of parts on a line each, null as an empty one."""
+    return digest(F.array_join(F.array(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), "\n"))
+
+
+def utc(x: Column) -> Column:
+    """An ISO 8601 time with its offset as a timestamp; null for any other text."""
+    return F.when(x.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(x))
 
 
 def rounded(x: Column, places: int = 6) -> Column:

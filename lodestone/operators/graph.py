@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def impact(edges: DataFrame, roots: DataFrame, most_depth: int) -> tuple[DataFra
 
     Level by level, nodes that were met before are left out, so cycles end. Each level is written before the next, which keeps plans short.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = settled(edges.select("src", "dst").distinct())
     front = settled(roots.select(F.col("node")).distinct())
     met, found = front, None
     for depth in range(most_depth + 1):
@@ -27,12 +29,14 @@ def impact(edges: DataFrame, roots: DataFrame, most_depth: int) -> tuple[DataFra
     return found.select("dst", "src", "depth"), beyond
 
 
-def ancestors(parents: DataFrame, most_depth: int = 20) -> DataFrame:
-    """(node, ancestor, distance) over (node, parent); a node met again on its own way up ends the walk."""
+def ancestors(parents: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """(node, ancestor, distance) over (node, parent), distance the shortest; ways up end where nothing new is met, or beyond most_depth if that is given."""
     step = settled(parents.select("node", F.col("parent").alias("ancestor")).where("parent is not null").distinct().withColumn("distance", F.lit(1)))
     found = step
     up = parents.select(F.col("node").alias("ancestor"), "parent").where("parent is not null")
-    for distance in range(2, most_depth + 1):
+    for distance in count(2):
+        if most_depth is not None and distance > most_depth:
+            break
         step = step.join(up, "ancestor").where("parent <> node").select("node", F.col("parent").alias("ancestor")).distinct()
         step = settled(step.join(found, ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)))
         if step.isEmpty():

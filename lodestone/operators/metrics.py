@@ -46,10 +46,11 @@ def map_sum(df: DataFrame, by: Sequence[str], json: str) -> DataFrame:
     return entries.groupBy(*by, "key").agg(F.sum(F.expr("try_cast(v as bigint)")).alias("total"), F.count("*").alias("n"))
 
 
-def best_by_median(df: DataFrame, by: str, option: str, value: str) -> DataFrame:
-    """Each group's option with the lowest median, ties to the smaller option."""
+def best_by_median(df: DataFrame, by: str, option: str, value: str, strength: dict[str, int] | None = None) -> DataFrame:
+    """Each group's option with the lowest median, ties to the one of greater strength if that is given, then to the smaller option."""
     medians = quantiles(df, [by, option], value).select(by, option, "median")
-    best = F.row_number().over(Window.partitionBy(by).orderBy("median", option))
+    rank = F.coalesce(*(F.when(F.col(option) == k, v) for k, v in strength.items()), F.lit(0)) if strength else F.lit(0)
+    best = F.row_number().over(Window.partitionBy(by).orderBy(F.col("median"), rank.desc(), F.col(option)))
     return medians.withColumn("_n", best).where("_n = 1").drop("_n")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import graph, intervals, metrics, ordered, reconcile, sampling, search, textdiff, validate
-from lodestone.sources import extract, scratch
+from lodestone.sources import extract, inventory, scratch
 from lodestone.sources.store import GenerationStore, incremental
 from lodestone.sources.store import session_blobs as store_session
 from lodestone.streaming import events
@@ -124,11 +124,60 @@ def scalar_functions(spark, d):
 
 
 @query("""
-select p_partkey, p_name, cast(case when p_type = 'red' then 0 when p_name = 'red' then 1 when starts_with(p_name, 'red') then 2 else 3 end as int) as rank
-from part where p_type = 'red' or contains(p_name, 'red')
+with p as (select p_partkey, p_name, p_type || '.' || p_name as q from part)
+select p_partkey, p_name, cast(case when q = 'red' then 0 when p_name = 'red' then 1 when starts_with(p_name, 'red') or starts_with(q, 'red') then 2 else 3 end as int) as rank
+from p where contains(p_name, 'red') or contains(q, 'red')
+union all
+select -p_partkey, p_name, cast(case when q = 'PROMO' then 0 when p_name = 'PROMO' then 1 when starts_with(p_name, 'PROMO') or starts_with(q, 'PROMO') then 2 else 3 end as int)
+from p where contains(p_name, 'PROMO') or contains(q, 'PROMO')
 """)
 def search_rank(spark, d):
-    return search.find(table(spark, d, "part"), "red", "p_name", "p_type").select("p_partkey", "p_name", "rank")
+    parts = table(spark, d, "part").withColumn("q", F.concat_ws(".", "p_type", "p_name"))
+    red, promo = (search.find(parts, text, "p_name", "q") for text in ("red", "PROMO"))
+    return red.select("p_partkey", "p_name", "rank").union(promo.select(-F.col("p_partkey"), "p_name", "rank"))
+
+
+@query("""
+with x as (select p_partkey, case p_partkey % 4 when 0 then p_name || ' { ' || p_type || ' } ' when 1 then p_name || ' => ' || p_type || ';' when 2 then p_name || ' {' || p_type else p_name || '  ' end as t from part),
+y as (select *, strpos(t, '{') - 1 as b, strpos(t, '=>') - 1 as a, length(t) as n, length(t) - strpos(reverse(t), '}') as c from x)
+select p_partkey, cast(length(rtrim(substr(t, 1, case when b >= 0 then b when a >= 0 then a else n end))) as int) as header_length,
+  cast(case when b >= 0 then b + 1 when a >= 0 then a + 2 else 0 end as int) as body_start,
+  cast(case when b >= 0 then (case when contains(t, '}') and c > b then c else n end) - b - 1 when a >= 0 then n - a - 2 - (case when ends_with(t, ';') and n > a + 2 then 1 else 0 end) else n end as int) as body_length
+from y
+""")
+def part_ranges(spark, d):
+    kind, name, of = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_type")
+    text = F.when(kind == 0, F.concat(name, F.lit(" { "), of, F.lit(" } "))).when(kind == 1, F.concat(name, F.lit(" => "), of, F.lit(";"))).when(kind == 2, F.concat(name, F.lit(" {"), of)).otherwise(F.concat(name, F.lit("  ")))
+    rows = table(spark, d, "part").select("p_partkey", text.alias("t"))
+    body = tx.part_range(F.col("t"), "body")
+    return rows.select("p_partkey", tx.part_range(F.col("t"), "header")["length"].alias("header_length"), body["start"].alias("body_start"), body["length"].alias("body_length"))
+
+
+@query("""
+with p as (select doc_id, regexp_split_to_array(text, '\r\n|\r|\n') as x, text from documents)
+select doc_id, cast(len(x) as int) as n, cast(length(text) - length(x[len(x)]) as int) as last_start from p
+""")
+def line_starts(spark, d):
+    starts = table(spark, d, "documents").select("doc_id", tx.line_starts(F.col("text")).alias("s"))
+    return starts.select("doc_id", F.size("s").alias("n"), F.element_at("s", -1).alias("last_start"))
+
+
+@query(r"""
+with p as (select page_id, case page_id % 4 when 0 then url || '/x.G.cs' when 1 then 'generated/' || page_id when 2 then url || '/Generated/a' else url end as path from pages)
+select page_id from p where regexp_matches(lower(path), '\.g\.cs$|\.designer\.cs$|\.generated\.cs$|/generated/|^generated/')
+""")
+def generated_paths(spark, d):
+    kind, url = F.col("page_id") % 4, F.col("url")
+    path = F.when(kind == 0, F.concat(url, F.lit("/x.G.cs"))).when(kind == 1, F.concat(F.lit("generated/"), "page_id")).when(kind == 2, F.concat(url, F.lit("/Generated/a"))).otherwise(url)
+    return table(spark, d, "pages").where(tx.generated(path)).select("page_id")
+
+
+@query("""
+select o_orderkey, 'sha256:' || sha256(o_orderstatus || chr(10) || o_custkey || chr(10) || case when o_orderkey % 3 = 0 then '' else o_orderpriority end || chr(10) || o_orderkey) as key from orders
+""")
+def selection_keys(spark, d):
+    maybe = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))
+    return table(spark, d, "orders").select("o_orderkey", tx.selection_key(F.col("o_orderstatus"), F.col("o_custkey"), maybe, F.col("o_orderkey")).alias("key"))
 
 
 @query("select o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderstatus = 'F' and lower(o_orderpriority) = lower('1-Urgent')")
@@ -237,6 +286,136 @@ def snapshot_diff(spark, d):
     return reconcile.snapshot_diff(_entities(base), _entities(target))
 
 
+NULLS = """
+base as (select cast(nullif(doc_id, 7) as bigint) as id, case when doc_id % 5 = 0 then null else sha256(text) end as v, case when doc_id % 4 = 0 then null else lang end as s from documents),
+target as (
+  select cast(nullif(doc_id, 7) as bigint) as id, case when doc_id % 10 = 0 or doc_id % 3 = 0 then null else sha256(text) end as v, case when doc_id % 8 = 0 then null when doc_id % 9 = 0 then 'xx' else lang end as s
+  from documents where doc_id % 11 <> 0 or doc_id = 7)
+"""
+
+
+def _with_nulls(spark, d):
+    i, lang, v = F.col("doc_id"), F.col("lang"), F.sha2("text", 256)
+    docs = table(spark, d, "documents")
+    id_ = F.when(i != 7, i).alias("id")
+    base = docs.select(id_, F.when(i % 5 != 0, v).alias("v"), F.when(i % 4 != 0, lang).alias("s"))
+    target = docs.where((i % 11 != 0) | (i == 7)).select(id_, F.when((i % 10 != 0) & (i % 3 != 0), v).alias("v"), F.when(i % 8 == 0, None).when(i % 9 == 0, "xx").otherwise(lang).alias("s"))
+    return base, target
+
+
+@query(f"""
+with {NULLS}, b as (select *, 1 as there from base), t as (select *, 1 as there from target)
+select coalesce(b.id, t.id) as id, case when b.there is null then 'added' when t.there is null then 'deleted' else 'modified' end as change, b.v as base_value, t.v as target_value
+from b full join t on b.id is not distinct from t.id where b.there is null or t.there is null or b.v is distinct from t.v
+""")
+def changes_with_nulls(spark, d):
+    return reconcile.changes(*_with_nulls(spark, d), "id", "v")
+
+
+@query(f"""
+with {NULLS}, both_ as (select b.id, b.s as bs, t.s as ts, b.v as bv, t.v as tv from base b join target t on b.id = t.id),
+k as (select id as base_id, id as target_id, 1.0::double as confidence, case when bs is distinct from ts then 'signature_changed' when bv is not distinct from tv then null else 'body_changed' end as kind from both_),
+u as (select * from k where kind is not null union all select id, null, 1.0, 'deleted' from base where id is not null and id not in (select id from target where id is not null))
+select base_id, target_id, kind, confidence, cast(list_position(['added', 'deleted', 'renamed', 'rename_candidate', 'signature_changed', 'body_changed', 'remark_changed', 'formatting_only'], kind) - 1 as int) as kind_order from u
+""")
+def snapshot_diff_with_nulls(spark, d):
+    base, target = (s.where("id is not null").select("id", F.lit(None).cast("string").alias("name"), F.col("s").alias("signature"), F.col("v").alias("body"), F.lit(None).cast("string").alias("shape")) for s in _with_nulls(spark, d))
+    return reconcile.snapshot_diff(base, target)
+
+
+@query("""
+select 1 as generation, doc_id, case when doc_id % 2 = 0 then lang end as a, case when doc_id % 2 <> 0 then lang end as b from documents
+union all select 2, doc_id, case when doc_id % 2 <> 0 then lang end, case when doc_id % 2 = 0 then lang end from documents
+""")
+def generations_with_nulls(spark, d):
+    store, even, lang = GenerationStore(spark, scratch.new_path(spark)), F.col("doc_id") % 2 == 0, F.col("lang")
+    one = table(spark, d, "documents").select("doc_id", F.when(even, lang).alias("a"), F.when(~even, lang).alias("b"))
+    held = [store.publish(df).generation for df in (one, one.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b")))]
+    first, second = (store.open(g, verified=True).select(F.lit(n).alias("generation"), "*") for n, g in enumerate(held, 1))
+    return first.union(second)
+
+
+@query("""
+with i as (select l_suppkey % 40 as holder, l_partkey as item from lineitem where l_linenumber = 1), j as (select l_suppkey % 40 + 25 as holder, l_partkey as item from lineitem where l_linenumber = 2),
+b as (select distinct * from i where holder not in (select holder from j)), t as (select distinct * from j where holder not in (select holder from i)),
+s as (select b.holder as base, t.holder as target, count(*) as shared from b join t using (item) group by all),
+r as (select *, row_number() over (partition by base order by shared desc, target) as n, row_number() over (partition by target order by shared desc, base) as m from s)
+select base, target, shared from r where n = 1 and m = 1
+""")
+def mutual_best_holders(spark, d):
+    lines = table(spark, d, "lineitem")
+    side = lambda n, plus: lines.where(F.col("l_linenumber") == n).select((F.col("l_suppkey") % 40 + plus).alias("holder"), F.col("l_partkey").alias("item"))
+    return reconcile.mutual_best(side(1, 0), side(2, 25), "item", "holder")
+
+
+@query("select distinct o_custkey, o_orderstatus from orders where (o_custkey, o_orderstatus) not in (select o_custkey, o_orderstatus from orders where o_orderkey % 2 = 0)")
+def one_sided_members(spark, d):
+    o = table(spark, d, "orders")
+    return reconcile.one_sided(o, o.where("o_orderkey % 2 = 0"), ["o_custkey", "o_orderstatus"]).select("o_custkey", "o_orderstatus").distinct()
+
+
+@query("""
+select o.o_orderkey, c.c_name as name, 'attached' as fate from orders o join customer c on o.o_custkey * 2 = c.c_custkey
+union all select o_orderkey, null, 'unknown' from orders where o_custkey * 2 not in (select c_custkey from customer)
+""")
+def attached_remarks(spark, d):
+    remarks = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("k"))
+    found, unknown = reconcile.attached(remarks, table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), "k")
+    return found.select("o_orderkey", "name", F.lit("attached").alias("fate")).union(unknown.select("o_orderkey", F.lit(None).cast("string"), F.lit("unknown")))
+
+
+@query("""
+with p as (select 'n' || c_nationkey || '/' || case when c_custkey % 5 = 0 then 'obj/' when c_custkey % 7 = 0 then 'bin/' else '' end || c_custkey as path from customer)
+select path, 'orphans' as project, 'unknown' as status from p where not regexp_matches(path, '/(obj|bin)/') and path not in (select 'n' || c_nationkey || '/' || c_custkey from customer where c_custkey % 3 = 0)
+""")
+def orphan_files(spark, d):
+    k, folder = F.col("c_custkey"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/"))
+    c = table(spark, d, "customer")
+    files = c.select(F.concat(folder, F.when(k % 5 == 0, "obj/").when(k % 7 == 0, "bin/").otherwise(""), k.cast("string")).alias("path"))
+    return inventory.orphans(files.where(~inventory.excluded(F.col("path"))), c.where(k % 3 == 0).select(F.concat(folder, k.cast("string")).alias("path")))
+
+
+@query("""
+with p as (select case when c_custkey % 5 = 0 then 'obj' when c_custkey % 7 = 0 then 'bin' end as name from customer) select name, count(*) as n from p where name is not null group by 1
+""")
+def excluded_files(spark, d):
+    k = F.col("c_custkey")
+    files = table(spark, d, "customer").select(F.concat(F.lit("a/"), F.when(k % 5 == 0, "obj/bin/").when(k % 7 == 0, "bin/").otherwise(""), k.cast("string")).alias("path"))
+    return inventory.excluded_count(files)
+
+
+@query("select url as path from pages order by url limit 25")
+def first_files(spark, d):
+    return inventory.first_files(table(spark, d, "pages").select(F.col("url").alias("path")), 25)
+
+
+@query("""
+select event_id, case event_id % 5 when 1 then 'DUPLICATE_MEMBER' when 2 then 'UNKNOWN_MEMBER' when 3 then 'INVALID_JSON' when 4 then 'WRONG_KIND' end as error from events
+""")
+def strict_json(spark, d):
+    n, k = F.col("event_id") % 5, F.col("event_id").cast("string")
+    text = F.concat(F.lit('{"id": '), k, F.when(n == 1, F.lit(', "id": 1}')).when(n == 2, F.lit(', "more": null}')).when(n == 3, F.lit(",}")).when(n == 4, F.lit('.5}')).otherwise(F.lit("}")))
+    return inventory.strict_json(table(spark, d, "events").select("event_id", text.alias("t")), "event_id", "t", {"id": int})
+
+
+@query("""
+select lang, count(*) filter (n_chars < 500) as n_short, count(*) filter (n_chars >= 500 and n_chars < 5000) as n_middle, count(*) filter (n_chars >= 5000) as n_long from documents group by 1
+""")
+def counts_by_kind(spark, d):
+    kind = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 5000, "middle").otherwise("long")
+    return metrics.statuses(table(spark, d, "documents").withColumn("kind", kind), "lang", "kind", ["short", "middle", "long"])
+
+
+@query(r"""
+select doc_id, sha256(regexp_replace(substr(text, 1, 10) || substr(text, 31, 20) || substr(text, 61), '\s', '', 'g')) as rest from documents where doc_id % 2 = 0
+union all select doc_id, sha256(regexp_replace(text, '\s', '', 'g')) from documents where doc_id % 2 <> 0
+""")
+def residual_text(spark, d):
+    docs = table(spark, d, "documents")
+    span = lambda a, b: docs.where("doc_id % 2 = 0").select("doc_id", F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"))
+    return textdiff.residual(docs, "doc_id", "text", span(10, 30).union(span(50, 60)).union(span(15, 20)))
+
+
 # --- sets
 
 
@@ -353,10 +532,11 @@ where name in (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) from
 def whole_word_counts(spark, d):
     names = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name")).where("name <> ''").distinct()
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(tx.lines(F.lower("text"))).alias("line", "t"))
-    words = lines.select("doc_id", "line", F.explode(F.split("t", "[^a-z]+")).alias("name"))
+    # what is not looked for goes before anything is shuffled; AQE broadcasts the names where their size allows it
+    words = lines.select("doc_id", "line", F.explode(F.split("t", "[^a-z]+")).alias("name")).join(names, "name", "left_semi")
     by_line = words.groupBy("name", "doc_id", "line").agg(F.count("*").alias("n"))
     by_doc = by_line.groupBy("name", "doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("line_n"))
-    return by_doc.groupBy("name").agg(F.sum("n").alias("n"), F.sum("line_n").alias("line_n"), F.count("*").alias("doc_n")).join(names, "name", "left_semi")
+    return by_doc.groupBy("name").agg(F.sum("n").alias("n"), F.sum("line_n").alias("line_n"), F.count("*").alias("doc_n"))
 
 
 @query("""

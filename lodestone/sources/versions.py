@@ -53,8 +53,19 @@ class RevisionReader(DataSourceReader):
         return [Blobs(entries[i : i + self.size]) for i in range(0, len(entries), self.size)] or [Blobs([])]
 
     def read(self, partition: Blobs) -> Iterator[tuple]:
-        for path, blob in partition.entries:
-            yield self.revision, self.committed, path, blob, _git(self.root, "cat-file", "blob", blob)
+        if not partition.entries:
+            return
+        with subprocess.Popen(["git", "-C", self.root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as run:
+            for path, blob in partition.entries:
+                run.stdin.write(f"{blob}\n".encode())
+                run.stdin.flush()
+                about = run.stdout.readline().split()
+                if len(about) != 3:
+                    raise ValueError(f"{path}: {b' '.join(about).decode()}")
+                content = run.stdout.read(int(about[2]))
+                run.stdout.read(1)
+                yield self.revision, self.committed, path, blob, content
+            run.stdin.close()
 
 
 class RevisionSource(DataSource):

@@ -1,0 +1,125 @@
+import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone import lifecycle
+from lodestone.engine import Answer, Engine
+from lodestone.operators import reconcile
+from lodestone.sources import store as stores
+from lodestone.sources.store import GenerationStore, StoreError, content_fingerprint
+
+
+def files(spark, **texts):
+    return spark.createDataFrame([(f"{k}.md", v) for k, v in texts.items()], "path string, text string")
+
+
+def test_sessions_are_kept_checked_and_closed(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    session = lifecycle.start_session(e, files(spark, a="# A", b="# A", c="x"))
+    first = e.store.current()
+    assert e.store.pinned() == {first}
+    e.build(files(spark, a="# new"))
+    assert e.store.pinned() == {first, e.store.current()}
+    got = lifecycle.session_changes(e, session, files(spark, a="# A", b="y", d="z")).collect()
+    assert [(r.path, r.change) for r in got] == [("b.md", "modified"), ("c.md", "deleted"), ("d.md", "added")]
+    with pytest.raises(StoreError) as err:
+        e.store.open_session(session, required=files(spark, q=""))
+    assert err.value.code == "NOT_FOUND"
+    files(spark, a="# A").select("text", F.lit("sha256:00").alias("digest")).write.mode("append").parquet(f"{tmp_path}/s/sessions/{session}/blobs")
+    with pytest.raises(StoreError) as err:
+        e.store.open_session(session)
+    assert err.value.code == "CORRUPT"
+    e.store.close_session(session)
+    with pytest.raises(StoreError) as err:
+        e.store.open_session(session)
+    assert err.value.code == "CLOSED" and e.store.pinned() == {e.store.current()}
+
+
+def test_rows_that_swap_nulls_are_other_rows(spark, tmp_path):
+    one, two = (spark.createDataFrame([r], "a string, b string") for r in ((None, "a"), ("a", None)))
+    assert content_fingerprint(one)[0] != content_fingerprint(two)[0]
+    store = GenerationStore(spark, str(tmp_path / "s"))
+    a, b = store.publish(one), store.publish(two)
+    assert a.generation != b.generation and store.open(verified=True).collect() == two.collect()
+
+
+def test_nulls_in_snapshots(spark):
+    schema = "id long, name string, signature string, body string, shape string"
+    base = spark.createDataFrame([(1, "a", None, None, None), (2, "b", None, "x", "s"), (3, "c", "f", None, "t")], schema)
+    target = spark.createDataFrame([(1, "a", None, None, None), (2, "b", "g", "x", "s"), (3, "c", "f", "new", "t")], schema)
+    assert {(r.base_id, r.kind) for r in reconcile.snapshot_diff(base, target).collect()} == {(2, "signature_changed"), (3, "body_changed")}
+    pair = lambda v: spark.createDataFrame([(None, v)], "k long, v string")
+    assert reconcile.changes(pair("x"), pair("x"), "k", "v").count() == 0
+    assert [tuple(r) for r in reconcile.changes(pair(None), pair("y"), "k", "v").collect()] == [(None, "modified", None, "y")]
+
+
+def test_a_lease_left_by_a_dead_writer_is_taken(spark, tmp_path, monkeypatch):
+    store = GenerationStore(spark, str(tmp_path / "s"))
+    store.publish(files(spark, a="x"))
+    lease = tmp_path / "s" / "_lease"
+    lease.write_text("held")
+    old = time.time() - stores.LEASE_SECONDS - 60
+    os.utime(lease, (old, old))
+    assert store.publish(files(spark, a="y"), wait=0.5).rows == 1 and not lease.exists()
+
+
+def test_open_refuses_damage_and_size(spark, tmp_path):
+    store = GenerationStore(spark, str(tmp_path / "s"))
+    held = store.publish(files(spark, a="x", b="y"))
+    store.check_sizes()
+    with pytest.raises(StoreError) as err:
+        store.check_sizes(most_file=10)
+    assert err.value.code == "TOO_LARGE"
+    files(spark, c="z").write.mode("append").parquet(f"{tmp_path}/s/{held.generation}/data")
+    with pytest.raises(StoreError) as err:
+        store.open(verified=True)
+    assert err.value.code == "CORRUPT"
+
+
+def test_repair_is_bounded():
+    answers = iter([Answer("stale"), Answer("missing"), Answer("ok")])
+    mended = []
+    assert lifecycle.repaired(lambda: next(answers), lambda: mended.append(1)).status == "ok" and len(mended) == 2
+    got = lifecycle.repaired(lambda: Answer("stale"), lambda: mended.append(1), attempts=3)
+    assert got.limitations == ("repair ended at its bound",) and len(mended) == 5
+    clock = iter([0.0, 61.0])
+    assert lifecycle.repaired(lambda: Answer("stale"), lambda: mended.append(1), clock=lambda: next(clock)).status == "stale" and len(mended) == 5
+    assert lifecycle.repaired(lambda: Answer("error"), lambda: mended.append(1)).status == "error" and len(mended) == 5
+    with pytest.raises(ValueError):
+        lifecycle.repaired(lambda: Answer("ok"), lambda: None, attempts=9)
+
+
+def test_the_latest_request_wins_and_trust_is_exact():
+    guard = lifecycle.LatestWins()
+    a, b = guard.begin(), guard.begin()
+    assert guard.finish(a, Answer("ok")).status == "superseded" and guard.finish(b, Answer("ok")).status == "ok"
+    trust = lifecycle.Trust(("/w/a/",))
+    assert trust.holds("/w/a") and not trust.holds("/w/a/b") and not trust.holds("/w")
+
+
+def test_limitations_of_unchanged_files_are_carried(spark):
+    notes = spark.createDataFrame([("a", "syntax-errors: 1"), ("b", "syntax-errors: 2")], "path string, note string")
+    assert [r.path for r in lifecycle.carried(notes, spark.createDataFrame([("b",), ("b",)], "path string")).collect()] == ["a"]
+    refs = spark.createDataFrame([("lexical", "a.b", "a.b"), ("lexical", "b", "a.b"), ("type", None, "x"), ("field", None, "x")], "kind string, text string, qualified_name string")
+    assert [r[0] for r in refs.select(lifecycle.provenance()).collect()] == ["lexical-qualified-name", "lexical-member-name", "semantic-type", "semantic-member"]
+
+
+def test_filters_parts_and_coverage_of_the_engine(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    text = "# Top { a }\nintro\n## Inner\nbody\nlast\n"
+    held = e.build(spark.createDataFrame([("a.md", text), ("bad.md", None)], "path string, text string"))
+    assert held.coverage == {"files": 2, "analysed": 1, "failed": 1}
+    assert [r["name"] for r in e.find(kind="H2").rows] == ["Inner"] and e.find(kind="h3").status == "not_found"
+    assert e.find().status == "partial" and e.find(project="none").status == "not_found"
+    assert [r["rank"] for r in e.find("Top").rows] == [2, 2]  # a prefix of a name, and of a qualified name
+    inner = e.find(kind="h2").rows[0]["symbol_id"]
+    assert e.resolve(inner, part="context", around=1).rows[0].content == "intro\n## Inner\nbody\nlast\n"
+    top = e.find(kind="h1").rows[0]["symbol_id"]
+    assert e.resolve(top, part="body").rows[0].content == " a " and e.resolve(top, part="header").rows[0].content == "# Top"
+    assert e.resolve(top, path="other.md").errors == ("SYMBOL_NOT_FOUND",)
+    other = e.build(spark.createDataFrame([("a.md", "# New\n## More\n# Third\n")], "path string, text string"))
+    first = e.diff(held.generation, other.generation, limit=2)
+    rest = e.diff(held.generation, other.generation, limit=2, cursor=first.cursor)
+    assert len(first.rows) == 2 and "results" in first.truncated and len({(r.kind, r.base_id, r.target_id) for r in first.rows + rest.rows}) == 2 + len(rest.rows)

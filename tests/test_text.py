@@ -37,9 +37,29 @@ def test_ids_tell_tuples_apart(spark):
 
 def test_parts_of_a_declaration(spark):
     x = F.col("x")
-    assert one(spark, "int F() => G(); { y }", tx.header(x), tx.body(x)) == ("int F() => G(); ", "{ y }")
-    assert one(spark, "int F() => 1;", tx.header(x), tx.body(x)) == ("int F() ", None)
-    assert one(spark, "a}b", tx.header(x), tx.body(x)) == ("a}b", None)
+    assert one(spark, "int F() => G(); { y }", tx.header(x), tx.body(x)) == ("int F() => G();", " y ")
+    assert one(spark, "int F() => 1;", tx.header(x), tx.body(x)) == ("int F()", " 1")
+    assert one(spark, "a}b", tx.header(x), tx.body(x)) == ("a}b", "a}b")
+    assert one(spark, "} x { y", tx.header(x), tx.body(x)) == ("} x", " y")
+    assert one(spark, "f =>", tx.header(x), tx.body(x)) == ("f", "")
+
+
+def test_line_starts_context_and_spans(spark):
+    x = F.col("x")
+    text = "a\r\nbb\rc\n"
+    assert one(spark, text, tx.line_starts(x), tx.strip_break(x)) == ([0, 3, 6, 8], "a\r\nbb\rc")
+    assert one(spark, text, tx.context(x, F.lit(2), F.lit(2), 1), tx.context(x, F.lit(1), F.lit(1), 0)) == (text, "a\r\n")
+    valid = lambda *v: one(spark, text, tx.span_valid(x, *map(F.lit, v)))[0]
+    assert valid(3, 2, 2, 2) and valid(0, 8, 1, 4) and not valid(3, 2, 1, 2) and not valid(7, 2, 3, 4) and not valid(-1, 1, 1, 1)
+
+
+def test_keys_and_times(spark):
+    x = F.col("x")
+    key = lambda items: one(spark, "p", tx.keyed("analysis", items=tx.canonical(F.array(*map(F.lit, items))), path=F.trim(x)))[0]
+    assert key(["b", " a"]) == key(["a", "b", "b"]) != key(["a"])
+    assert one(spark, "a", tx.selection_key(x, F.lit(None)))[0] == one(spark, "a", tx.selection_key(x, F.lit("")))[0]
+    assert str(one(spark, "2024-05-06T07:08:09+02:00", tx.utc(x))[0]) != "None" and one(spark, "2024-05-06", tx.utc(x)) == (None,)
+    assert [one(spark, p, tx.generated(x))[0] for p in ("a/B.G.cs", "generated/x", "a/regenerated/x", "a.cs")] == [True, True, False, False]
 
 
 def test_paths_and_numbers(spark):
