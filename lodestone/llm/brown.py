@@ -167,6 +167,8 @@ def vocabulary_parts(chunks: DataFrame, bits: int) -> DataFrame:
 def vocabulary(numbered: DataFrame, classes: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(word, c) of each part's words, or (word, c, cls) with classes; most: of each part only the so many most frequent of training."""
 
+    classed = classes is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             words, c = _words(row["words"], row["size"]), _numbers(row["data"], "<i8")
@@ -174,14 +176,14 @@ def vocabulary(numbered: DataFrame, classes: DataFrame | None = None, most: int
             if most is not None and len(at) > most:  # ties with the last are kept, the caller's order decides
                 at = at[c[at] >= c[at[most - 1]]]
             columns = [pa.array([words[i] for i in at], pa.binary()), pa.array(c[at])]
-            if classes is not None:
+            if classed:
                 columns.append(pa.array(_numbers(row["cls"], "u1")[at].astype(np.int32)))
             yield pa.RecordBatch.from_arrays(columns, ["word", "c", "cls"][: len(columns)])
 
     rows = numbered.where("chunk is null").select("part", "size", "words", "data")
-    if classes is not None:
+    if classed:
         rows = rows.join(classes.select("part", "cls").hint("merge"), "part")
-    return rows.mapInArrow(run, "word binary, c long" + ", cls int" * (classes is not None))
+    return rows.mapInArrow(run, "word binary, c long" + ", cls int" * classed)
 
 
 def core_pairs(chunks: DataFrame, core: dict[bytes, int]) -> np.ndarray:

@@ -91,6 +91,80 @@ def test_exchange_never_lowers_the_likelihood():
             assert likelihood(other)[0] <= best + 1e-6
 
 
+def test_lm_matches_a_plain_model(spark):
+    """Classes, transitions and scores worked out over plain lists of words, from the core's classes on."""
+    rng = random.Random(17)
+    rows = corpus(rng, 120) + [(i, t, None) for i, t in ODD if len(t or "") < 1000]
+    k, core, rounds = 4, 25, 3
+    df = frame(spark, rows)
+    named = df.selectExpr("doc_id", "crc32(cast(doc_id as string)) % 5 = 1 as held_out", "cast(text as binary) as t")
+    model = brown.learn(named, k, core, rounds, 400, 200, 60)  # many chunks and parts
+    found = {bytes(r.word): (r.c, r.cls) for r in brown.vocabulary(model.numbered, model.classes).collect()}
+    train = [split_words((t or "").encode()) for i, t, _ in rows if i is not None and crc(i, 5) != 1]
+    c = Counter(w for ws in train for w in ws)
+    assert {w: n for w, (n, _) in found.items() if n} == c
+    frequent = sorted(w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:core])
+    index = {w: i for i, w in enumerate(frequent)}
+    pairs = np.zeros((len(index) + 1, len(index) + 1))
+    bigrams = Counter()
+    for ws in train:
+        for a, b in zip([None, *ws], [*ws, None]):
+            bigrams[a, b] += 1
+            if (a is None or a in index) and (b is None or b in index):
+                pairs[index.get(a, len(index)), index.get(b, len(index))] += 1
+    of, counts = brown.exchange(pairs, k)
+    fixed = {w: int(of[i]) for w, i in index.items()}
+    now = {**fixed, None: k}
+    done, before = 0, None
+    while done < rounds:
+        if done:
+            counts = np.zeros((k + 1, k + 1))
+            for (a, b), n in bigrams.items():
+                counts[now[a], now[b]] += n
+            reached = brown.likelihood(counts)
+            if before is not None and reached <= before + brown.SETTLED * abs(before):
+                break
+            before = reached
+        gains, usual = brown._gains(counts), int(counts.sum(0)[:k].argmax())
+        sums_ = {w: np.zeros(k) for w in c}
+        met = set()
+        for (a, b), n in bigrams.items():
+            if b is not None and a in now:
+                sums_[b] += n * gains[now[a]]
+                met.add(b)
+            if a is not None and b in now:
+                sums_[a] += n * gains[k + 1 + now[b]]
+                met.add(a)
+        now = {**{w: int(x.argmax()) if w in met else usual for w, x in sums_.items()}, **fixed, None: k}
+        done += 1
+    assert model.rounds == done
+    same = sum(found[w][1] == now[w] for w in c)
+    assert same >= 0.99 * len(c)  # sums are single floats there: ties may fall otherwise
+    cls = {w: found[w][1] for w in c}
+    totals = Counter()
+    for w, n in c.items():
+        totals[cls[w]] += n
+    assert [totals[j] for j in range(k)] == model.totals.tolist()
+
+    def states(ws, single):
+        return [k, *((k + 1 if w not in c or (single and c[w] == 1) else cls[w]) for w in ws), k]
+
+    plain, unknown = np.zeros((k + 2, k + 2)), np.zeros((k + 2, k + 2))
+    for ws in train:
+        for table, single in ((plain, False), (unknown, True)):
+            s = states(ws, single)
+            for a, b in zip(s, s[1:]):
+                table[a, b] += 1
+    logs = brown.log_table(plain, unknown)
+    got = Counter((r.doc_id, round(r.score, 6)) for r in brown.score_documents(df, classes=k, core=core, rounds=rounds, chunk_tokens=400, chunk_words=200, part_words=60).collect())
+    want = Counter()
+    for i, t, _ in rows:
+        ws = split_words((t or "").encode())
+        s = states(ws, False)
+        want[i, round(sum(logs[a, b] for a, b in zip(s, s[1:])) + sum(math.log10(c[w] / totals[cls[w]]) for w in ws if w in c), 6)] += 1
+    assert got == want
+
+
 def test_classes_of_words_that_are_all_rare(spark):
     rng = random.Random(9)
     odd, even = ([f"{x}{i}" for i in range(60)] for x in "oe")
