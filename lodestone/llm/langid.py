@@ -19,10 +19,9 @@ from lodestone.llm.labelled import window
 BITS = 17
 GRAMS = (1, 2, 3)
 AFFIXES = (2, 3)
-#: Labelled rows that the model is fitted on, of each window at most so many characters, and languages, the most frequent first.
+#: Labelled rows that the model is fitted on, shared out evenly over all languages, and characters of each one's window, at most.
 MOST_ROWS = 2400
 WINDOW_CHARS = 1200
-MOST_LANGUAGES = 64
 BLOCK = 64
 #: ASCII bytes that are no letters part words.
 LETTERS = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
@@ -177,10 +176,11 @@ def train(samples: list[tuple[list[bytes], int]], labels: list[str], number: int
     return model
 
 
-def labelled_texts(docs: DataFrame, most: int = MOST_ROWS, languages: int = MOST_LANGUAGES, chars: int = WINDOW_CHARS, seed: int = 42) -> list[tuple[bytes, str]]:
-    """At most `most` (window, lang) rows of documents with a language and a text, about as many of each language, by a seeded hash."""
+def labelled_texts(docs: DataFrame, most: int = MOST_ROWS, chars: int = WINDOW_CHARS, seed: int = 42) -> list[tuple[bytes, str]]:
+    """At most `most` (window, lang) rows of documents with a language and a text, as many of each language, by a seeded hash; of more
+    languages than that, one row each. Every language that occurs is learned."""
     named = docs.where("lang is not null and text is not null")
-    counts = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = named.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return []
     each = max(1, most // len(counts))
@@ -188,8 +188,8 @@ def labelled_texts(docs: DataFrame, most: int = MOST_ROWS, languages: int = MOST
     h = F.xxhash64(F.lit(seed), "doc_id", "text")
     place = F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
     rows = named.select("lang", place.alias("p"), window(F.col("text"), seed, chars).cast("binary").alias("t")).where(F.col("p") < F.try_element_at(share, "lang"))
-    got = sorted(rows.limit(2 * most + 40 * languages).collect(), key=lambda r: (r.lang, r.p, bytes(r.t)))
-    out, held = [], {}
+    got = sorted(rows.collect(), key=lambda r: (r.lang, r.p, bytes(r.t)))
+    out, held = [], {}  # the shares leave about 1.5 times `most` rows and 20 a language
     for r in got:
         held[r.lang] = held.get(r.lang, 0) + 1
         if held[r.lang] <= each:
