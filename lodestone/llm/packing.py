@@ -41,6 +41,10 @@ class Kept(dict):
             self.clear()
 
 
+#: Texts by which a tokenizer shows whether a text's ids are those of its words, and a word's those of its letters and tail.
+PROBES = [x.encode() for x in ("Hello world", " two  spaces\tand\nlines ", "naïve Élan ÀÉÎ straße", "don't can't I'll", "abc123 x,y a-b.c (see) end.", "UPPER lower MiXeD", "1234 5.6 %% ...", "日本 слово e\u0301")]
+
+
 class WordIds:
     """Texts' ids as little-endian bytes, by way of their words.
 
@@ -60,6 +64,16 @@ class WordIds:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {c: level(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.words, self.stems, self.tails = Kept(self._word, words), Kept(self._stem, parts), Kept(self._text, words)
+        self.by_words = self._fits()
+        for kept in (self.words, self.stems, self.tails):
+            kept.clear()
+
+    def _fits(self) -> bool:
+        """Whether the tokenizer works by words and parts as this class does; if not, whole texts go through it."""
+        try:
+            return all(b"".join(map(self._word, probe.split())) == self._text(probe.decode()) for probe in PROBES)
+        except Exception:  # a model without merges of its own, or letters that it doesn't know
+            return False
 
     def _text(self, text: str) -> bytes:
         return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
@@ -76,6 +90,8 @@ class WordIds:
         return stem + self.tails[m[2]] if m[2] else stem
 
     def text(self, text: bytes) -> bytes:
+        if not self.by_words:
+            return self._text(text.decode("utf-8", "replace"))
         ids = b"".join(map(self.words.__getitem__, text.split()))
         for kept in (self.words, self.stems, self.tails):
             kept.trim()

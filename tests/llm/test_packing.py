@@ -1,3 +1,4 @@
+import glob
 import random
 import zlib
 from array import array
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm.packing import first_fit_decreasing, pack, pack_documents
+from lodestone.llm.packing import WordIds, first_fit_decreasing, pack, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -71,3 +72,17 @@ def test_pack_of_nothing_and_of_one():
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("path", sorted(glob.glob("/opt/tokenizers/*.json")))
+def test_ids_of_any_tokenizer(path):
+    rng = random.Random(3)
+    try:
+        tokens = Tokenizer.from_file(path)
+    except Exception:
+        pytest.skip("no tokenizer file")
+    words = WordIds(path)
+    parts = ["Hello", "naïve", "ß", "1234", "don't", "a b", "é", "(x)", "end.", "  ", "\t", "ABC", "日本", "foo_bar", "e\u0301"]
+    for _ in range(60):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        assert words.text(text.encode()) == array("I", tokens.encode(text, add_special_tokens=False).ids).tobytes()
