@@ -21,7 +21,7 @@ RAREST, COMMONEST = 1 / 500, 1 / 5
 #: of which it holds about one term, so shares go down to where that is so for long texts.
 EACH, ENOUGH = 6, 12
 SHARES = tuple(2.0**-i for i in range(1, 11) for _ in range(EACH))
-FLUSH_TERMS = 400_000
+FLUSH_TERMS = 150_000
 
 
 def _count(docs: DataFrame, keep: Callable[[Counter, int], list[tuple[bytes, int]]], only: frozenset[bytes] | None = None) -> DataFrame:
@@ -81,8 +81,10 @@ class Prints:
     def __init__(self, terms: list[bytes], shares: tuple[float, ...] = SHARES, seed: int = 42):
         self.number = {t: i for i, t in enumerate(terms)}
         self.codes = np.array([xxhash.xxh64_intdigest(t, seed) for t in terms], np.uint64)
-        draw = np.array([[xxhash.xxh64_intdigest(t, seed + 1 + j) for j in range(len(shares))] for t in terms], np.uint64).reshape(len(terms), len(shares))
-        self.member = (draw >> np.uint64(11)).astype(np.float64) / 2.0**53 < np.array(shares)
+        self.member = np.zeros((len(terms), len(shares)), bool)
+        for j, share in enumerate(shares):  # a column at a time
+            draw = np.fromiter((xxhash.xxh64_intdigest(t, seed + 1 + j) for t in terms), np.uint64, len(terms))
+            self.member[:, j] = (draw >> np.uint64(11)).astype(np.float64) / 2.0**53 < share
         self.slots = len(shares)
 
     def of(self, text: bytes) -> list[int]:
@@ -129,7 +131,7 @@ def fingerprints(docs: DataFrame, terms: list[bytes] | None = None) -> DataFrame
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row's whole text.
 
     near_next compares with the next document in ascending doc_id (null first, equal ids by a hash of the text; after the last comes the first).
-    Documents are dealt out by ranges of doc_id; only the first and last of each range meet afterwards, so texts are
+    Documents are dealt out by ranges of doc_id and that hash; only the first and last of each range meet afterwards, so texts are
     shuffled once. Null texts are empty ones. Repeated rows stay; an empty table gives none; other columns are ignored.
     """
     prints = Prints(lexicon(docs) if terms is None else terms)
@@ -171,7 +173,7 @@ def fingerprints(docs: DataFrame, terms: list[bytes] | None = None) -> DataFrame
             yield batch_of([last], part_id, "last")
 
     h = F.xxhash64("text")
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t"), h.alias("h")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "h")
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t"), h.alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     done = settled(dealt.select("doc_id", "t").mapInArrow(run, f"{RESULT}, part int, edge string, text string"))
     edges = done.where("edge is not null")
     parts = sorted(r.part for r in edges.select("part").distinct().collect())  # a number a range
