@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordered import before, ranges
+
 
 def _binned(df: DataFrame, width: int, group: str) -> DataFrame:
     """A row for each bin of `width` that the interval touches; bins keep range joins from meeting all rows of a large group."""
@@ -31,11 +33,12 @@ def overlaps(left: DataFrame, right: DataFrame, group: str, width: int = 1000) -
 
 
 def coalesced(df: DataFrame, group: str) -> DataFrame:
-    """Overlapping or touching intervals merged: (group, start, end, n)."""
-    order = Window.partitionBy(group).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = df.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1))
-    islands = islands.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """Overlapping or touching intervals merged: (group, start, end, n). A large group is dealt over ranges (see ordered.before)."""
+    order = ["start", "end"]
+    rows = before(ranges(df.select(group, *order), [group, *order]), group, order, F.col("end"), "max", "reach")
+    rows = rows.withColumn("new", F.when(F.col("reach") >= F.col("start"), 0).otherwise(1))
+    # rows that are equal lie in one range, and only the first of them can be new
+    islands = before(rows, group, order, F.col("new"), "sum", "past").withColumn("island", F.coalesce("past", F.lit(0)) + F.col("new"))
     return islands.groupBy(group, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
 
 
@@ -43,8 +46,8 @@ def depth(df: DataFrame, group: str) -> DataFrame:
     """The most intervals open at once in each group, by a sweep over their ends."""
     ends = df.select(group, F.col("start").alias("at"), F.lit(1).alias("step")).union(df.select(group, F.col("end"), F.lit(-1)))
     points = ends.groupBy(group, "at").agg(F.sum("step").alias("step"))
-    open_ = F.sum("step").over(Window.partitionBy(group).orderBy("at"))
-    return points.withColumn("open", open_).groupBy(group).agg(F.max("open").alias("most_open"))
+    summed = before(ranges(points, [group, "at"]), group, ["at"], F.col("step"), "sum", "past")
+    return summed.groupBy(group).agg(F.max(F.coalesce("past", F.lit(0)) + F.col("step")).alias("most_open"))
 
 
 def reread(df: DataFrame, group: str, order: str, width: int = 1000) -> DataFrame:

@@ -10,28 +10,53 @@ from pyspark.sql import functions as F
 from lodestone.sources.scratch import settled
 
 
-def islands(df: DataFrame, group: str, at: str, gap: float | int) -> DataFrame:
-    """Adds island, from 1: rows of a group in order, a new one where `at` is over `gap` beyond the row before."""
-    order = Window.partitionBy(group).orderBy(at)
-    new = F.when(F.col(at) - F.lag(at).over(order) <= gap, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
-
-
-def _ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+def ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """df cut into ranges of the order, each row with its range's number _part; written, so that every reader sees the same ranges."""
     return settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
 
 
+def before(cut: DataFrame, group: str, order: Sequence[str], value: Column, how: str, name: str) -> DataFrame:
+    """Adds to rows of `ranges([group, *order])` the last value, the sum or the max of the rows of their group before them; null if there are none.
+
+    Windows run within a range and group; what the ranges before come to is added from one row a range and group, so a large group is
+    worked on by as many tasks as it has ranges.
+    """
+    own = Window.partitionBy("_part", group).orderBy(*order)
+    past, earlier = own.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(group).orderBy("_part")
+    rows = cut.withColumn("_value", value)
+    if how == "last":
+        rows = rows.withColumn("_first", F.row_number().over(own) == 1).withColumn("_within", F.lag("_value").over(own))
+        ends = rows.groupBy("_part", group).agg(F.max_by("_value", F.struct(*order)).alias("_end"))
+        start, both = F.lag("_end").over(earlier), F.when(F.col("_first"), F.col("_start")).otherwise(F.col("_within"))
+    else:
+        total = {"sum": F.sum, "max": F.max}[how]
+        rows = rows.withColumn("_first", F.lit(True)).withColumn("_within", total("_value").over(past))
+        ends = rows.groupBy("_part", group).agg(total("_value").alias("_end"))
+        start = total("_end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+        both = F.coalesce(F.col("_start") + F.col("_within"), F.col("_start"), F.col("_within")) if how == "sum" else F.greatest("_start", "_within")
+    starts = ends.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), start.alias("_start"))
+    joined = rows.join(starts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn(name, both).drop("_p", "_g", "_start", "_within", "_first", "_value")
+
+
+def islands(df: DataFrame, group: str, at: str, gap: float | int) -> DataFrame:
+    """Adds island, from 1: rows of a group in order, a new one where `at` is over `gap` beyond the row before (see `before`)."""
+    rows = before(ranges(df, [group, at]), group, [at], F.col(at), "last", "_last")
+    rows = rows.withColumn("_new", F.when(F.col(at) - F.col("_last") <= gap, 0).otherwise(1))
+    rows = before(rows, group, [at], F.col("_new"), "sum", "_past")
+    return rows.withColumn("island", (F.coalesce("_past", F.lit(0)) + F.col("_new")).cast("long")).select(*df.columns, "island")
+
+
 def running_total(df: DataFrame, order: Sequence[str], amount: str, name: str = "total") -> DataFrame:
     """The sum of amount up to and with each row in a total order over all rows, without bringing them to one task.
 
     Rows are cut into ranges of the order; sums within a range run on its own, and what the ranges before come to is added from one row a range.
     """
-    cut = _ranges(df, order)
+    cut = ranges(df, order)
     within = F.sum(amount).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     sums = cut.groupBy("_part").agg(F.sum(amount).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.withColumn("_before", before).select("_part", "_before")
+    past = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.withColumn("_before", past).select("_part", "_before")
     return cut.withColumn("_within", within).join(starts, "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
 
 
@@ -40,11 +65,11 @@ def placed(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str
 
     group and order together must tell rows apart, or those that they don't are numbered as they come.
     """
-    cut = _ranges(df, [*group, *order])
+    cut = ranges(df, [*group, *order])
     within = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
     counts = cut.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("_part").alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), before.alias("_before"))
+    past = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("_part").alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), past.alias("_before"))
     on = F.col("_part") == F.col("_p")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
@@ -71,12 +96,12 @@ def seeded(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
 def reordered(base: DataFrame, target: DataFrame, group: str, member: str, at: str) -> DataFrame:
     """(group, common, reordered): whether the members that both sides have stand in another order."""
     both = base.select(group, member, F.col(at).alias("_b")).join(target.select(group, member, F.col(at).alias("_t")), [group, member])
-    place = lambda c: F.row_number().over(Window.partitionBy(group).orderBy(c, member))
-    ranked = both.withColumn("_i", place("_b")).withColumn("_j", place("_t"))
+    ranked = placed(placed(both, [group], ["_b", member], "_i"), [group], ["_t", member], "_j")
     return ranked.groupBy(group).agg(F.count("*").alias("common"), F.max(F.col("_i") != F.col("_j")).alias("reordered"))
 
 
 def difference(df: DataFrame, group: str, order: Sequence[str], value: str, name: str = "delta") -> DataFrame:
     """The growth of a cumulative value since the row before; a fall, and a group's first row, are null."""
-    step: Column = F.col(value) - F.lag(value).over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn(name, F.when(step >= 0, step))
+    rows = before(ranges(df, [group, *order]), group, order, F.col(value), "last", "_last")
+    step = F.col(value) - F.col("_last")
+    return rows.withColumn(name, F.when(step >= 0, step)).select(*df.columns, name)
