@@ -168,7 +168,22 @@ def test_line_diffs_under_budgets(spark):
     assert got[1].hunks == ["@@ -1,3 +1,3 @@\n a\n-b\n+B\n c"] and (got[1].removed, got[1].added, got[1].truncated) == (1, 1, False)
     assert (got[2].mode, got[2].added, got[3].removed) == ("header_only", 2, 1)
     assert got[5].mode == "fingerprint_only" and got[5].truncated
-    assert got[6].hunks == []
+    assert got[6].hunks == [] and (got[1].omitted, got[2].omitted, got[5].omitted) == (0, 1, 800)
+
+
+def test_a_hunk_past_the_budget_is_cut_to_what_fits(spark):
+    base = "\n".join(f"line {i}" for i in range(60))
+    target = base.replace("line 3\n", "LINE 3\n").replace("\n".join(f"line {i}" for i in range(20, 40)), "\n".join(f"other {i}" for i in range(20, 40)))
+    df = spark.createDataFrame([(1, base, target)], "k int, base string, target string")
+    for most in (40, 60, 120, 200, 400, 4000):
+        r = textdiff.line_diffs(df, "k", most_bytes=most).first()
+        shown = sum(x[:1] in "+-" for h in r.hunks for x in h.split("\n")[1:])
+        assert sum(len(h.encode()) for h in r.hunks) <= most and shown + r.omitted == 42 and r.truncated == (r.omitted > 0)
+        for h in r.hunks:
+            head, *body = h.split("\n")
+            old, new = (sum(x[:1] != s for x in body) for s in "+-")
+            assert f",{old} +" in head and head.endswith(f",{new} @@")
+    assert r.omitted == 0 and len(r.hunks) == 2
 
 
 def test_residual_text_ignores_spans_and_space(spark):
