@@ -236,6 +236,23 @@ def positional_pairing(spark, d):
     return reconcile.positional_pairs(base, target, ["source"], ["id"]).withColumn("nth", F.col("nth").cast("long"))
 
 
+@query("""
+with b as (select l_orderkey as s, l_suppkey % 3 as p, l_linenumber as i from lineitem), t as (select s, case when i = 3 then p + 5 else p end as p, i * 10 as i from b where not (i = 2 and s % 2 = 0)),
+br as (select *, row_number() over (partition by s, p order by i) as n from b), tr as (select *, row_number() over (partition by s, p order by i) as n from t),
+j as (select coalesce(br.s, tr.s) as l_orderkey, br.p as base_path, tr.p as target_path, br.i as base_at, tr.i as target_at, case when br.s is null then 'target' when tr.s is null then 'base' else 'both' end as side
+  from br full join tr on br.s = tr.s and br.p = tr.p and br.n = tr.n),
+o as (select l_orderkey, max(base_path) as base_path, max(target_path) as target_path, max(base_at) as base_at, max(target_at) as target_at, 'moved' as side from j where side <> 'both' group by 1
+  having count(*) filter (side = 'base') = 1 and count(*) filter (side = 'target') = 1)
+select * from j where side = 'both' or l_orderkey not in (select l_orderkey from o) union all select * from o
+""")
+def declaration_pairs(spark, d):
+    path, at = F.col("l_suppkey") % 3, F.col("l_linenumber")
+    lines = table(spark, d, "lineitem")
+    base = lines.select("l_orderkey", path.alias("path"), at.alias("at"))
+    target = lines.where(~((at == 2) & (F.col("l_orderkey") % 2 == 0))).select("l_orderkey", F.when(at == 3, path + 5).otherwise(path).alias("path"), (at * 10).alias("at"))
+    return reconcile.declaration_pairs(base, target, "l_orderkey", "path", "at")
+
+
 @query(f"with {PAIR} select distinct id from changed where id not in (select doc_id from documents where doc_id % 3 = 0) and (select count(*) from documents where doc_id % 3 = 0) > 0")
 def unreported_changes(spark, d):
     docs = table(spark, d, "documents")

@@ -123,3 +123,20 @@ def test_filters_parts_and_coverage_of_the_engine(spark, tmp_path):
     first = e.diff(held.generation, other.generation, limit=2)
     rest = e.diff(held.generation, other.generation, limit=2, cursor=first.cursor)
     assert len(first.rows) == 2 and "results" in first.truncated and len({(r.kind, r.base_id, r.target_id) for r in first.rows + rest.rows}) == 2 + len(rest.rows)
+
+
+def test_impact_names_the_budgets_that_cut(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.build(files(spark, a="# Load\nx\n", b="# One\nLoad\nLoad\n# Two\nLoad One\n", c="# Three\nTwo Load\n"))
+    load = [r.symbol_id for r in e.find("Load", exact=True).rows]
+    whole = e.impact(load, most_depth=5)
+    assert whole.status == "ok" and whole.cursor is None and {r.provenance for r in whole.rows} == {"lexical-member-name"}
+    first = e.impact(load, most_depth=5, limit=2)
+    rest, cursor = list(first.rows), first.cursor
+    while cursor:
+        nxt = e.impact(load, most_depth=5, limit=2, cursor=cursor)
+        rest, cursor = rest + nxt.rows, nxt.cursor
+    assert first.truncated == ("page",) and rest == whole.rows
+    assert e.impact(load, most_depth=5, most_results=3).truncated == ("result",)
+    few = e.impact(load, most_depth=5, most_files=2)
+    assert "source" in few.truncated and {r.path for r in few.rows} == {"b.md"}
