@@ -59,9 +59,9 @@ def complete(df: DataFrame, by: str, fine: Column) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"), F.bool_and(F.coalesce(fine, F.lit(False))).alias("complete"))
 
 
-def merged(df: DataFrame, by: str, id_: str, order: Sequence[str], items: str, flag: Column) -> DataFrame:
-    """Parts of an entity as one row: the first part by order, the sorted distinct items, whether all have the flag."""
-    return df.groupBy(by).agg(
+def merged(df: DataFrame, by: str | Sequence[str], id_: str, order: Sequence[str], items: str, flag: Column) -> DataFrame:
+    """Parts of an entity, told by one key or several, as one row: the first part by order, the sorted distinct items, whether all have the flag."""
+    return df.groupBy(*([by] if isinstance(by, str) else by)).agg(
         F.min(F.struct(*order, id_)).getField(id_).alias("first"), F.sort_array(F.collect_set(items)).alias("items"), F.bool_and(flag).alias("all_flagged"), F.count("*").alias("parts")
     )
 

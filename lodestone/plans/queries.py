@@ -196,6 +196,15 @@ def page_keyset(spark, d):
     return search.page_after(table(spark, d, "orders").select("o_orderkey", "o_custkey"), [("o_custkey", True), ("o_orderkey", False)], [500, 700], 100)
 
 
+@query("""
+select o_orderkey, nullif(o_custkey % 7, 0)::bigint as k from orders
+where nullif(o_custkey % 7, 0) < 2 or o_custkey % 7 = 0 or (o_custkey % 7 = 2 and o_orderkey > 700) order by k desc nulls last, o_orderkey limit 1000
+""")
+def page_keyset_nulls(spark, d):
+    rows = table(spark, d, "orders").selectExpr("o_orderkey", "cast(nullif(o_custkey % 7, 0) as bigint) as k")
+    return search.page_after(rows, [("k", True), ("o_orderkey", False)], [2, 700], 1000)
+
+
 # --- snapshots
 
 
@@ -474,6 +483,15 @@ def merge_entities(spark, d):
     return got.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
 
 
+@query("""
+select l_orderkey, l_returnflag, arg_min(l_partkey, (l_shipdate, l_linenumber, l_partkey)) as first, list_aggregate(list_sort(list(distinct l_suppkey)), 'string_agg', ',') as items,
+  bool_and(l_linestatus = 'F') as all_flagged, count(*) as parts from lineitem group by 1, 2
+""")
+def merge_on_two_keys(spark, d):
+    got = metrics.merged(table(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], "l_partkey", ["l_shipdate", "l_linenumber"], "l_suppkey", F.col("l_linestatus") == "F")
+    return got.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
+
+
 @query("""
 select conv_id, count(*) filter (role = 'system') as n_system, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'assistant') as n_assistant, count(*) filter (role = 'tool') as n_tool
 from conversations group by 1

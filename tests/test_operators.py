@@ -20,7 +20,7 @@ def test_cursors():
 
 
 def test_pages_meet_end_to_end(spark):
-    df = spark.createDataFrame([(i % 4, i) for i in range(30)], "a int, b int")
+    df = spark.createDataFrame([(i % 4 or None, i) for i in range(30)] + [(2, None), (None, None)], "a int, b int")
     keys = [("a", True), ("b", False)]
     whole = [tuple(r) for r in df.orderBy(F.desc("a"), F.asc("b")).collect()]
     seen, last = [], None
