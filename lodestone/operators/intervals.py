@@ -51,7 +51,12 @@ def depth(df: DataFrame, group: str) -> DataFrame:
 
 
 def reread(df: DataFrame, group: str, order: str, width: int = 1000) -> DataFrame:
-    """(group, id) of intervals that share a point with one before them in the order."""
+    """(group, id) of intervals that share a point with one before them in the order.
+
+    Earlier ones are cut to the bin, and of equal ones only the first in the order is met, so long or repeated intervals cost a row a bin.
+    """
     a = _binned(df.select(group, "id", F.col(order).alias("o"), "start", "end"), width, group)
-    b = a.select(group, "bin", F.col("o").alias("p"), F.col("start").alias("s"), F.col("end").alias("e"))
+    # a point more on the left, for an empty interval where the bin starts
+    s, e = F.greatest("start", F.col("bin") * width - 1), F.least("end", (F.col("bin") + 1) * width)
+    b = a.where("end is not null").groupBy(group, "bin", s.alias("s"), e.alias("e")).agg(F.min("o").alias("p"))
     return a.join(b, [group, "bin"]).where("p < o and s < end and start < e").select(group, "id").distinct()

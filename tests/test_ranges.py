@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import intervals, ordered
 
@@ -80,3 +81,15 @@ def test_empty_tables(split):
     none = split.createDataFrame([], "g string, at long, id long, start long, end long")
     assert ordered.islands(none, "g", "at", 1).count() == ordered.difference(none, "g", ["at"], "id").count() == 0
     assert intervals.coalesced(none, "g").count() == intervals.depth(none, "g").count() == 0
+
+
+def test_reread_in_dense_bins(spark):
+    pick = random.Random(5)
+    rows = [(i % 2, i, pick.randrange(200), pick.choice([0, 1, 3, 40, 900])) for i in range(160)] + [(0, 200, 50, 0), (1, 201, 100, 0)]
+    rows = [(g, i, s, s + n) for g, i, s, n in rows] + [(0, 300, 5, None), (0, 301, None, 9)]
+    df = spark.createDataFrame(rows, "g int, id int, start int, end int").withColumn("seq", F.hash("id") % 50)
+    seq = {r.id: r.seq for r in df.collect()}
+    full = [r for r in rows if None not in r]
+    want = {(g, i) for g, i, s, e in full for h, j, t, f in full if g == h and seq[j] < seq[i] and t < e and s < f}
+    for width in (7, 50, 1000):
+        assert {(r.g, r.id) for r in intervals.reread(df, "g", "seq", width).collect()} == want
