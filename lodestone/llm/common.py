@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import release, settled
 
-__all__ = ["LOWER", "NOT_SPACE", "components", "crc_mod", "discard", "joined_apart", "release", "settled", "slices", "split_words", "table"]
+__all__ = ["LOWER", "NOT_SPACE", "components", "crc_mod", "discard", "from_planes", "joined_apart", "planes", "release", "settled", "slices", "split_words", "table"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java character class.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -37,6 +39,16 @@ def slices(batch, rows: int = 256) -> Iterator:
         yield batch.slice(at, rows)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' bytes, the first of all, then the second of all, and so on: what the high ones have in common compresses to nothing."""
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+
+
+def from_planes(packed: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes settled tables that nothing will read again; what was made of them must be settled by then."""
     for df in tables:

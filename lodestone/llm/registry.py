@@ -17,11 +17,12 @@ from lodestone.llm.pii import op9_pii
 from lodestone.llm.quality import op10_quality
 from lodestone.llm.resampling import op13_resample
 from lodestone.llm.simhash import op1_simhash
+from lodestone.llm.suffixes import op12_suffixes
 from lodestone.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_simhash, op2_brown_lm, op3_mix, op4_langid, op5_imatch, op6_toxicity, op7_pack, op8_kdtree, op9_pii, op10_quality, op13_resample)}
+    found = {f.__name__: f for f in (op1_simhash, op2_brown_lm, op3_mix, op4_langid, op5_imatch, op6_toxicity, op7_pack, op8_kdtree, op9_pii, op10_quality, op12_suffixes, op13_resample)}
     return found | {"pipeline": corpus_pipeline.run}
 
 

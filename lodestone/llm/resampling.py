@@ -26,10 +26,13 @@ CHUNK = 1 << 16
 LONG_WORD = 64
 
 #: A-Z to a-z, and what is not in a word to a space.
-A_WORD = re.compile(rb"[^ ]+")  # of a text through WORD_BYTES
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+#: A word of a text through WORD_BYTES.
+A_WORD = re.compile(rb"[^ ]+")
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cases A-Z and takes the words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`."""
     return text.translate(WORD_BYTES).split()
