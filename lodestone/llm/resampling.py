@@ -128,12 +128,12 @@ def long_chunks(docs: DataFrame, size: int = CHUNK, longest: int = LONGEST) -> D
     return rows.mapInArrow(run, "row long, piece int, doc_id long, own binary, carry binary")
 
 
-def _pieces(docs: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
-    """(row, doc_id, own, carry) of all texts: short ones whole where they lie, without a row; chunks of long ones dealt over tasks."""
+def _pieces(docs: DataFrame, chunks: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, own, carry) of short texts, whole where they lie, without a row; and of the chunks of long ones, dealt over tasks."""
     short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= size)
     none = F.lit(None)
     short = short.select(none.cast("long").alias("row"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("own"), none.cast("binary").alias("carry"))
-    return short.union(chunks.repartition("row", "piece").select("row", "doc_id", "own", "carry"))
+    return short, chunks.repartition("row", "piece").select("row", "doc_id", "own", "carry")
 
 
 def bucket_counts(pieces: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -> np.ndarray:
@@ -192,13 +192,12 @@ def resample(docs: DataFrame, target: DataFrame, share: int = 25, least_words: i
     are dealt over tasks, and their counts and sums added up by text.
     """
     docs, target = docs.select("doc_id", "text"), target.select(F.lit(0).alias("doc_id"), "text")
-    chunks = settled(long_chunks(docs, chunk, longest))
-    source = bucket_counts(_pieces(docs, chunks, chunk), buckets, longest)
-    wanted = bucket_counts(_pieces(target, settled(long_chunks(target, chunk, longest)), chunk), buckets, longest)
-    scored = weigh(_pieces(docs, chunks, chunk), gains(source, wanted), longest)
-    parts = ("n_words", "n_features", "total")
-    long = scored.where("row is not null").groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in parts))
-    rows = scored.where("row is null").select("doc_id", *parts).union(long.select("doc_id", *parts))
+    short, long = _pieces(docs, settled(long_chunks(docs, chunk, longest)), chunk)
+    source = bucket_counts(short.union(long), buckets, longest)
+    wanted = bucket_counts(DataFrame.union(*_pieces(target, settled(long_chunks(target, chunk, longest)), chunk)), buckets, longest)
+    gain, parts = gains(source, wanted), ("n_words", "n_features", "total")
+    summed = weigh(long, gain, longest).groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in parts))
+    rows = weigh(short, gain, longest).select("doc_id", *parts).union(summed.select("doc_id", *parts))
     weight = F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(0).cast("long")
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     gumbel = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
