@@ -40,7 +40,23 @@ def settled(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As settled, dealt into as many buckets by key as there are shuffle partitions: joins and groups by the key read it without a shuffle."""
+    spark = df.sparkSession
+    name, path = f"lodestone_{uuid.uuid4().hex}", new_path(spark)
+    number = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(number, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    named.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
+
+
+#: Names of the tables that `bucketed` has put into the catalogue, by application.
+named: dict[str, list[str]] = {}
+
+
 def release(spark: SparkSession) -> None:
     """Removes every table that this application settled; results that still read them end."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for name in named.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
