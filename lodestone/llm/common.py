@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import release, settled
 
-__all__ = ["LOWER", "NOT_SPACE", "components", "crc_mod", "discard", "from_planes", "joined_apart", "planes", "release", "settled", "slices", "split_words", "table"]
+__all__ = ["LOWER", "NOT_SPACE", "components", "crc_mod", "discard", "from_planes", "hot_keys", "joined_apart", "planes", "release", "settled", "slices", "split_words", "table"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java character class.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -62,12 +62,17 @@ def discard(*tables: DataFrame) -> None:
 HOT = 1000
 
 
-def joined_apart(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left joined with right, which has a key once, whatever part of left has one key: rows of hot keys stay where they are, the others are
-    shuffled. left is read several times."""
-    per = settled(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key) of the values that a thousandth of all rows or more have."""
+    per = settled(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
     total = per.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(per.where(F.col("n") * HOT >= total).select(key))
+    return settled(per.where(F.col("n") * HOT >= total).select(key))
+
+
+def joined_apart(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has a key once, whatever part of left has one key: rows of hot keys stay where they are, the others are
+    shuffled. left is read several times; hot, if given, are its `hot_keys`."""
+    hot = F.broadcast(hot_keys(left, key) if hot is None else hot)
     return left.join(hot, key, "left_anti").join(right.hint("merge"), key).unionByName(left.join(F.broadcast(right.join(hot, key, "left_semi")), key))
 
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import joined_apart, settled, table
+from lodestone.llm.common import hot_keys, joined_apart, settled, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' patterns. A run of characters can only match from its start or from where the last match ended, so nothing is tried twice:
 #: `\G` and the look-behind keep the leftmost matches as they are and the time linear.
 RULES = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -25,7 +26,9 @@ NEEDS = {"email": "@", "phone": "+"}
 CANDIDATE = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+(?:\x20[(0-9][0-9().-]*+)*+"
 #: Characters of context on each side that patterns are made of.
 CONTEXT = 64
-STEP = 256
+STEP, SHORT = 256, 16
+#: Scoring ends with the first round that changes no confidence by more.
+SETTLED = 0.001
 
 
 def _let(x: Column, then: Callable[[Column], Column]) -> Column:
@@ -33,9 +36,9 @@ def _let(x: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), then), 1)
 
 
-def _runs(x: Column) -> Column:
-    """An array in runs of STEP."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / STEP).cast("int")), lambda b: F.slice(x, b * STEP + 1, STEP))
+def _runs(x: Column, step: int = STEP) -> Column:
+    """An array in runs of `step`; of an empty one the runs are empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / step).cast("int")), lambda b: F.slice(x, b * step + 1, step))
 
 
 def running(lengths: Column) -> Column:
@@ -45,12 +48,14 @@ def running(lengths: Column) -> Column:
         # the result is start, start + x0, ...: one more than the part has
         return F.aggregate(part, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    n = F.size(lengths)
-    at = F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int"))
-    runs = F.transform(at, lambda b: F.aggregate(F.slice(lengths, b * STEP + 1, STEP), F.lit(0), lambda s, x: s + x))
-    starts = sums(runs, F.lit(0))
-    parts = F.transform(at, lambda b: sums(F.slice(lengths, b * STEP + 1, STEP), F.element_at(starts, b + 1)))
-    return F.flatten(F.transform(parts, lambda p: F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))))
+    def over(xs: Column) -> Column:
+        runs = _runs(xs)
+        starts = sums(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda s, x: s + x)), F.lit(0))
+        # zipped rather than looked up, so that nothing is worked out anew for each run
+        parts = F.zip_with(runs, F.slice(starts, 1, F.size(runs)), lambda r, s: F.slice(sums(r, s), 1, F.size(r)))
+        return F.flatten(parts)
+
+    return _let(lengths, over)
 
 
 def matches(df: DataFrame, name: str, pattern: str, needed: Column, sides: bool = False) -> DataFrame:
@@ -63,15 +68,16 @@ def matches(df: DataFrame, name: str, pattern: str, needed: Column, sides: bool
     lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
     df = df.withColumn(before, F.when(some, running(lengths)).otherwise(F.array().cast("array<int>")))
 
-    def one(h: Column, i: Column) -> Column:
-        start = (F.element_at(before, i + 1) + F.length(F.element_at(gaps, i + 1))).alias("start")
-        end = (start + F.length(h)).alias("end")
-        parts = [start, end, h.alias("match")]
+    def one(m: Column) -> Column:
+        start = (m["before"] + F.length(m["left"])).alias("start")
+        parts = [start, (start + F.length(m["hit"])).alias("end"), m["hit"].alias("match")]
         if sides:
-            parts += [F.right(F.element_at(gaps, i + 1), F.lit(CONTEXT)).alias("left"), F.left(F.element_at(gaps, i + 2), F.lit(CONTEXT)).alias("right")]
+            parts += [F.right(m["left"], F.lit(CONTEXT)).alias("left"), F.left(m["right"], F.lit(CONTEXT)).alias("right")]
         return F.struct(*parts)
 
-    return df.withColumn(name, F.transform(hits, one)).drop(gaps, hits, before)
+    n = F.size(hits)
+    each = F.arrays_zip(F.col(hits).alias("hit"), F.col(before).alias("before"), F.slice(gaps, 1, n).alias("left"), F.slice(gaps, 2, n).alias("right"))
+    return df.withColumn(name, F.transform(each, one)).drop(gaps, hits, before)
 
 
 def _holds(kind: str, m: Column) -> Column:
@@ -110,13 +116,22 @@ def candidates(df: DataFrame) -> DataFrame:
     df = matches(df, "_cand", CANDIDATE, F.col("text").rlike("[0-9@]"), sides=True)
 
     def bounded(run: Column) -> Column:
-        return F.struct(run.alias("spans"), F.element_at(run, 1)["start"].alias("low"), F.array_max(F.transform(run, lambda b: b["end"])).alias("high"))
+        return F.struct(run.alias("spans"), F.try_element_at(run, F.lit(1))["start"].alias("low"), F.array_max(F.transform(run, lambda b: b["end"])).alias("high"))
+
+    def overlapping(runs: Column, start: Column, end: Column) -> Column:
+        near = F.filter(runs, lambda r: (r["low"] < end) & (r["high"] > start))
+        return F.flatten(F.transform(near, lambda r: F.filter(r["spans"], lambda b: (b["start"] < end) & (b["end"] > start))))
+
+    def each(run: Column, runs: Column) -> Column:
+        """A run of candidates looks at the spans beside it only, and each of them at short runs of these."""
+        beside = overlapping(runs, F.try_element_at(run, F.lit(1))["start"], F.try_element_at(run, F.lit(-1))["end"])
+        return _let(beside, lambda own: _let(F.transform(_runs(own, SHORT), bounded), lambda few: F.transform(run, lambda c: one(c, few))))
 
     def one(c: Column, runs: Column) -> Column:
-        near = F.filter(runs, lambda r: (r["low"] < c["end"]) & (r["high"] > c["start"]))
-        over = F.flatten(F.transform(near, lambda r: F.filter(r["spans"], lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))))
-        word = F.regexp_extract(c["match"], r"^[^\p{L}0-9+(]*(.*?)[^\p{L}0-9]*$", 1)
-        skipped = F.length(F.regexp_extract(c["match"], r"^[^\p{L}0-9+(]*", 0))
+        over = overlapping(runs, c["start"], c["end"])
+        skipped = F.length(F.regexp_extract(c["match"], r"^[^\p{L}0-9+(]*+", 0))
+        rest = F.substring(c["match"], skipped + 1, F.length(c["match"]))
+        word = F.left(rest, F.length(rest) - F.length(F.regexp_extract(F.reverse(rest), r"^[^\p{L}0-9]*+", 0)))
         start = (c["start"] + skipped).alias("start")
         two = _edge_word(c["left"], r"(\S+\s+\S+)\s*$", 1)
         last, first = _edge_word(c["left"], r"(\S+)\s*$", 1), _edge_word(c["right"], r"^\s*(\S+)", 1)
@@ -124,31 +139,36 @@ def candidates(df: DataFrame) -> DataFrame:
         seed = F.try_element_at(F.transform(over, lambda b: b["kind"]), F.lit(1)).alias("seed")
         return F.struct(start, (start + F.length(word)).alias("end"), word.alias("match"), seed, F.filter(named, lambda p: p.isNotNull()).alias("patterns"))
 
-    runs = F.when(F.size("base") > 0, F.transform(_runs(F.col("base")), bounded)).otherwise(F.array().cast("array<struct<spans:array<struct<start:int,kind:int,end:int>>,low:int,high:int>>"))
-    found = _let(runs, lambda r: F.transform("_cand", lambda c: one(c, r)))
+    found = _let(F.transform(_runs(F.col("base")), bounded), lambda runs: F.flatten(F.transform(_runs(F.col("_cand")), lambda run: each(run, runs))))
     return df.withColumn("cands", F.filter(found, lambda c: c["end"] > c["start"])).drop("_cand")
 
 
-def bootstrap(edges: DataFrame, rounds: int = 3, support: float = 3.0, accept: float = 0.8) -> DataFrame:
+def bootstrap(edges: DataFrame, support: float = 3.0, accept: float = 0.8, settles: float = SETTLED) -> DataFrame:
     """Scores the graph of patterns and instances: returns (match, kind) of unseen instances that are accepted.
 
     edges: (pattern, match, seed), distinct. A pattern's confidence for a kind is the sum of its instances' confidences over one more than
     their number, none below `support`; an instance that no rule found has the noisy-or of its patterns. Seeds
-    stay at 1 for their kind, 0 for others. Both sides are group-by sums, which are pre-aggregated; a hot pattern's or instance's links are not dealt to one
-    task for the joins either (`joined_apart`).
+    stay at 1 for their kind, 0 for others. No confidence ever falls, so rounds come to rest; the last is the first that moves none by more than
+    `settles`. Both sides are group-by sums, which are pre-aggregated; a hot pattern's or instance's links are not dealt to one
+    task for the joins either: which are hot is found out once.
     """
     cols = [f"c{k}" for k in range(len(KINDS))]
     seeds = edges.groupBy("match").agg(*(F.max(F.when(F.col("seed") == k, 1.0).otherwise(0.0)).alias(c) for k, c in enumerate(cols)), F.max(F.col("seed").isNotNull()).alias("known"))
     seeds = settled(seeds)
     links = settled(edges.select("pattern", "match").distinct())
-    now = seeds
-    for _ in range(rounds):
-        by_pattern = joined_apart(links, now, "match").groupBy("pattern").agg(*(F.sum(c).alias(c) for c in cols), F.count("*").alias("n"))
+    hot = {key: hot_keys(links, key) for key in ("match", "pattern")}
+    now, moved = seeds, math.inf
+    while moved > settles:
+        by_pattern = joined_apart(links, now, "match", hot["match"]).groupBy("pattern").agg(*(F.sum(c).alias(c) for c in cols), F.count("*").alias("n"))
         by_pattern = by_pattern.select("pattern", *(F.when(F.col(c) >= support, F.col(c) / (F.col("n") + 1)).otherwise(0.0).alias(c) for c in cols))
         strong = by_pattern.where(reduce(lambda a, b: a | b, (F.col(c) > 0 for c in cols)))
-        reached = joined_apart(links, settled(strong), "pattern").groupBy("match").agg(*((1 - F.exp(F.sum(F.log1p(-F.col(c))))).alias(f"n{c}") for c in cols))
+        reached = joined_apart(links, settled(strong), "pattern", hot["pattern"]).groupBy("match").agg(*((1 - F.exp(F.sum(F.log1p(-F.col(c))))).alias(f"n{c}") for c in cols))
         rescored = [F.when(F.col("known"), F.col(c)).otherwise(F.coalesce(f"n{c}", F.lit(0.0))).alias(c) for c in cols]
-        now = settled(seeds.join(reached, "match", "left").select("match", *rescored, "known"))
+        last = now.select(F.col("match").alias("_m"), *(F.col(c).alias(f"_{c}") for c in cols))
+        again = seeds.join(reached, "match", "left").select("match", *rescored, "known").join(last, F.col("match") == F.col("_m"))
+        now = settled(again.select("match", *cols, "known", F.greatest(*(F.abs(F.col(c) - F.col(f"_{c}")) for c in cols)).alias("moved")))
+        moved = now.agg(F.max("moved")).first()[0] or 0.0
+        now = now.drop("moved")
     best = F.greatest(*cols)
     kind = reduce(lambda rest, k: F.when(F.col(cols[k]) == best, k).otherwise(rest), reversed(range(len(cols))), F.lit(None).cast("int"))
     return now.where(~F.col("known") & (best >= accept)).select("match", kind.alias("kind"))
