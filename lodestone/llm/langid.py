@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -25,7 +24,6 @@ WINDOW_CHARS = 1200
 BLOCK = 64
 #: ASCII bytes that are no letters part words.
 LETTERS = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
-A_LETTER = re.compile(r"[^\W\d_]")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -33,6 +31,11 @@ def words_of(text: bytes) -> list[bytes]:
     return text.decode("utf-8", "replace").lower().encode().translate(LETTERS).split()
 
 
+def has_letter(text: bytes) -> bool:
+    """Whether some character is of a letter category; numbers such as ², ½, Ⅷ and ① are not."""
+    return any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Affixes and n-grams of the word, and its entry in the lexicon of whole words."""
     return features([b"<" + w + b">" for w in words], BITS, GRAMS, AFFIXES)
@@ -214,7 +217,7 @@ def annotate(docs: DataFrame, model: Crf) -> DataFrame:
                 texts = part.column(at_text).cast(pa.binary()).to_pylist()
                 words = [words_of(t) if t else [] for t in texts]
                 for i, w in enumerate(words):
-                    if not w or not A_LETTER.search(w[0].decode("utf-8", "replace")) and not A_LETTER.search(texts[i].decode("utf-8", "replace")):
+                    if not w or not has_letter(w[0]) and not has_letter(texts[i]):
                         words[i] = []
                 lengths = np.fromiter(map(len, words), np.int64, len(words))
                 best, score = np.full(len(words), k), np.zeros(len(words))
