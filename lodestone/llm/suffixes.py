@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import discard, from_planes, planes, settled, slices, table
+from lodestone.sources.scratch import bucketed
 
 LEAST, ANCHOR = 50, 24
 #: A chunk of documents ends once it has so many bytes, or at so many rows.
@@ -444,7 +445,7 @@ def drop_repeated(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, chu
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = least - anchor + 1
     bits = max(0, int(np.ceil(np.log2(max(1, 2 * total / (width + 1) / part_keys)))))
-    chunks = settled(chunked(docs, min(bits, 20), least, anchor, chunk_bytes))
+    chunks = bucketed(chunked(docs, min(bits, 20), least, anchor, chunk_bytes), "chunk")  # texts are joined twice by chunk, and stay where they are
     texts = chunks.where("texts is not null").select("chunk", "names", "texts")
     marks = settled(repeated(chunks.where("part is not null").select("chunk", "part", "keys"), hot))
     segments_sent = marks.agg(F.sum("n")).first()[0] or 0
