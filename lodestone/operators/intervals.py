@@ -1,4 +1,4 @@
-"""Half-open intervals within a group: containment, overlap, coalescing, depth."""
+"""Half-open intervals within a group: coalescing, depth, rereading; containment and overlap are in `sweep`."""
 
 from __future__ import annotations
 
@@ -14,24 +14,6 @@ def _binned(df: DataFrame, width: int, group: str) -> DataFrame:
     return df.withColumn("bin", F.explode(F.sequence(F.expr(f"floor(start / {width})"), F.floor(last / width))))
 
 
-def enclosing(inner: DataFrame, outer: DataFrame, group: str, width: int = 1000, later: bool = False) -> DataFrame:
-    """Each inner (group, id, start, end) with the shortest outer that contains it, ties to the earlier start, then the smaller id.
-
-    later: only outers of a larger id count, as where ids follow the order of nesting.
-    """
-    left = inner.select(group, F.col("id").alias("inner_id"), F.col("start").alias("s"), F.col("end").alias("e"), F.expr(f"floor(start / {width})").alias("bin"))
-    right = _binned(outer.select(group, "id", "start", "end"), width, group)
-    met = left.join(right, [group, "bin"]).where("start <= s and e <= end" + " and id > inner_id" * later)
-    return met.groupBy(group, "inner_id", "s", "e").agg(F.min(F.struct(F.expr("end - start").alias("length"), "start", "id")).alias("best")).select(group, "inner_id", F.col("best.id").alias("outer_id"))
-
-
-def overlaps(left: DataFrame, right: DataFrame, group: str, width: int = 1000) -> DataFrame:
-    """(group, left_id, right_id) of intervals that share a point: a pair is kept in the bin where the later of the two starts."""
-    a = _binned(left.select(group, F.col("id").alias("left_id"), "start", "end"), width, group).select(group, "bin", "left_id", F.col("start").alias("ls"), F.col("end").alias("le"))
-    b = _binned(right.select(group, F.col("id").alias("right_id"), "start", "end"), width, group).select(group, "bin", "right_id", F.col("start").alias("rs"), F.col("end").alias("re"))
-    return a.join(b, [group, "bin"]).where(f"ls < re and rs < le and bin = floor(greatest(ls, rs) / {width})").select(group, "left_id", "right_id")
-
-
 def coalesced(df: DataFrame, group: str) -> DataFrame:
     """Overlapping or touching intervals merged: (group, start, end, n). A large group is dealt over ranges (see ordered.before)."""
     order = ["start", "end"]

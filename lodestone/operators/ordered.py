@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from lodestone.sources.scratch import settled
 
 
-def ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+def ranges(df: DataFrame, order: Sequence[str | Column], number: int | None = None) -> DataFrame:
     """df cut into ranges of the order, each row with its range's number _part; written, so that every reader sees the same ranges."""
-    return settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    cut = df.repartitionByRange(*([number] if number else []), *order)
+    return settled(cut.withColumn("_part", F.spark_partition_id()))
 
 
 def before(cut: DataFrame, group: str, order: Sequence[str], value: Column, how: str, name: str) -> DataFrame:
     """Adds to rows of `ranges([group, *order])` the last value, the sum or the max of the rows of their group before them; null if there are none.
 
-    Windows run within a range and group; what the ranges before come to is added from one row a range and group, so a large group is
-    worked on by as many tasks as it has ranges.
+    Windows run within a range and group; what the ranges before come to is added from one row a range, as only the first group of a range can have
+    begun before it. These rows are broadcast: there are no more than ranges. So the rows are shuffled once to where their range's windows
+    run, also if several values are asked for in turn.
     """
     own = Window.partitionBy("_part", group).orderBy(*order)
     past, earlier = own.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(group).orderBy("_part")
@@ -30,12 +32,13 @@ def before(cut: DataFrame, group: str, order: Sequence[str], value: Column, how:
         start, both = F.lag("_end").over(earlier), F.when(F.col("_first"), F.col("_start")).otherwise(F.col("_within"))
     else:
         total = {"sum": F.sum, "max": F.max}[how]
-        rows = rows.withColumn("_first", F.lit(True)).withColumn("_within", total("_value").over(past))
+        rows = rows.withColumn("_within", total("_value").over(past))
         ends = rows.groupBy("_part", group).agg(total("_value").alias("_end"))
         start = total("_end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
         both = F.coalesce(F.col("_start") + F.col("_within"), F.col("_start"), F.col("_within")) if how == "sum" else F.greatest("_start", "_within")
-    starts = ends.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), start.alias("_start"))
-    joined = rows.join(starts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    carried = ends.withColumn("_start", start).withColumn("_nth", F.row_number().over(earlier)).where("_nth > 1")
+    starts = F.broadcast(carried.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), "_start"))
+    joined = rows.join(starts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")), "left")
     return joined.withColumn(name, both).drop("_p", "_g", "_start", "_within", "_first", "_value")
 
 

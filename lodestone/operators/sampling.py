@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.ordered import seeded
+from lodestone.operators.ordered import before, ranges, seeded
 
 
 def within(**ranges: tuple[float | None, float | None]) -> Column:
@@ -27,24 +26,18 @@ def tuning_split(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     return seeded(df, group, key, seed).withColumn("part", F.when(F.col("place") == 1, "tuning").otherwise("held_out")).drop("place")
 
 
-def greedy_pairs(df: DataFrame, group: str, order: str, accept: Callable[[dict, dict], bool]) -> DataFrame:
-    """(group, first, second) of `order` values: down each group's order, a row and the next are a pair if accepted, and both are used up; else
-    the row alone is passed over. The outcome depends on the order, so a group is read by one task, row by row; it is never held.
+def greedy_pairs(df: DataFrame, group: str, order: str, value: str, accept: Callable[[Column, Column], Column]) -> DataFrame:
+    """(group, first, second) of `order` values: down each group's order, a row and the next are a pair if accept(value, next value), and both are used
+    up; else the row alone is passed over. order tells the rows of a group apart.
+
+    A row can only be met by the one right before it, so in a run of rows each accepted with the one before, every other one closes a pair: the
+    parity of the distance to the last row that is not accepted decides. That distance adds up over ranges (see `ordered.before`), so a
+    large group is worked on by as many tasks as it has ranges.
     """
-    kinds = dict(df.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict | None = None
-        for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                if last is not None and last[group] == row[group] and accept(last, row):
-                    found.append({group: row[group], "first": last[order], "second": row[order]})
-                    last = None
-                else:
-                    last = row
-            if found:
-                yield pa.RecordBatch.from_pylist(found, pa.schema([batch.schema.field(group), pa.field("first", batch.schema.field(order).type), pa.field("second", batch.schema.field(order).type)]))
-
-    dealt = df.repartition(group).sortWithinPartitions(group, order)
-    return dealt.mapInArrow(run, f"{group} {kinds[group]}, first {kinds[order]}, second {kinds[order]}")
+    cut = ranges(df.select(group, order, value), [group, order])
+    rows = before(cut, group, [order], F.struct(F.col(order).alias("at"), F.col(value).alias("value")), "last", "_prev")
+    met = F.coalesce(F.col("_prev").isNotNull() & accept(F.col("_prev.value"), F.col(value)), F.lit(False))
+    rows = before(rows.withColumn("_met", met), group, [order], F.lit(1), "sum", "_n").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rows = before(rows, group, [order], F.when(~F.col("_met"), F.col("_n")), "max", "_break")
+    closes = F.col("_met") & ((F.col("_n") - F.col("_break")) % 2 == 1)
+    return rows.where(closes).select(group, F.col("_prev.at").alias("first"), F.col(order).alias("second"))

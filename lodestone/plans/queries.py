@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import graph, intervals, metrics, ordered, reconcile, sampling, search, textdiff, validate
+from lodestone.operators import graph, intervals, metrics, ordered, reconcile, sampling, search, sweep, textdiff, validate
 from lodestone.sources import extract, inventory, scratch
 from lodestone.sources.store import GenerationStore, incremental
 from lodestone.sources.store import session_blobs as store_session
@@ -366,7 +366,7 @@ with i as (select l_suppkey % 40 as holder, l_partkey as item from lineitem wher
 b as (select distinct * from i where holder not in (select holder from j)), t as (select distinct * from j where holder not in (select holder from i)),
 s as (select b.holder as base, t.holder as target, count(*) as shared from b join t using (item) group by all),
 r as (select *, row_number() over (partition by base order by shared desc, target) as n, row_number() over (partition by target order by shared desc, base) as m from s)
-select base, target, shared from r where n = 1 and m = 1
+select base, target, shared from r where n = 1 or m = 1
 """)
 def mutual_best_holders(spark, d):
     lines = table(spark, d, "lineitem")
@@ -606,7 +606,7 @@ select g, inner_id, outer_id from r where n = 1
 """)
 def interval_contain(spark, d):
     s = _spans(spark, d)
-    return intervals.enclosing(s, s, "g", later=True)
+    return sweep.enclosing(s, s, "g", later=True)
 
 
 @query(f"""
@@ -614,7 +614,37 @@ with s as ({SPANS}) select a.g, a.id as left_id, b.id as right_id from s a join
 """)
 def interval_overlap(spark, d):
     s = _spans(spark, d)
-    return intervals.overlaps(s, s, "g").where("left_id < right_id")
+    return sweep.overlaps(s, s, "g").where("left_id < right_id")
+
+
+#: Spans that nest, most of them in one group: dyadic blocks of orders' keys.
+NESTED = "select case when o_custkey % 4 = 0 then o_custkey % 50 else -1 end as g, o_orderkey as id, o_orderkey - o_orderkey % (1 << (o_custkey % 13)) as start, o_orderkey - o_orderkey % (1 << (o_custkey % 13)) + (1 << (o_custkey % 13)) as \"end\" from orders"
+
+
+def _nested(spark, d):
+    width = F.shiftleft(F.lit(1).cast("long"), (F.col("o_custkey") % 13).cast("int"))
+    start = F.col("o_orderkey") - F.col("o_orderkey") % width
+    return table(spark, d, "orders").select(F.when(F.col("o_custkey") % 4 == 0, F.col("o_custkey") % 50).otherwise(F.lit(-1)).alias("g"), F.col("o_orderkey").alias("id"), start.alias("start"), (start + width).alias("end"))
+
+
+@query(f"""
+with s as ({NESTED}), r as (
+  select i.g, i.id, o.id as parent, row_number() over (partition by i.g, i.id order by o.start desc, o."end", o.id desc) as n, count(*) over (partition by i.g, i.id) as depth
+  from s i join s o on i.g = o.g and o.start <= i.start and i."end" <= o."end" and (o.start < i.start or i."end" < o."end" or o.id < i.id))
+select g, id, parent, cast(depth as int) as depth from r where n = 1 union all select g, id, null, 0 from s where (g, id) not in (select g, id from r)
+""")
+def span_forest(spark, d):
+    return sweep.forest(_nested(spark, d), "g")
+
+
+@query(f"""
+with s as ({NESTED}), p as (select g, id, id + 1 as pos from s), r as (
+  select p.g, p.id as inner_id, s.id as outer_id, row_number() over (partition by p.g, p.id order by s."end" - s.start, s.start, s.id) as n from p join s on p.g = s.g and s.start <= pos and pos < s."end")
+select g, inner_id, outer_id from r where n = 1
+""")
+def span_of_position(spark, d):
+    s = _nested(spark, d)
+    return sweep.positions(s.select("g", "id", (F.col("id") + 1).alias("at")), s, "g")
 
 
 @query(f"""
@@ -897,4 +927,4 @@ select o_custkey, first, o_orderkey as second from w where first is not null
 """)
 def greedy_pairs(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return sampling.greedy_pairs(o, "o_custkey", "o_orderkey", lambda a, b: b["o_totalprice"] > a["o_totalprice"])
+    return sampling.greedy_pairs(o, "o_custkey", "o_orderkey", "o_totalprice", lambda a, b: b > a)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, intervals, metrics, ordered, reconcile, search, textdiff, validate
+from lodestone.operators import graph, intervals, metrics, ordered, reconcile, search, sweep, textdiff, validate
 
 
 def test_cursors():
@@ -66,14 +66,14 @@ def test_intervals_match_brute_force(spark):
     rng = random.Random(1)
     rows = [(g, i, s, s + rng.randrange(1, 400)) for g in range(3) for i in range(25) for s in [rng.randrange(500)]]
     df = spark.createDataFrame(rows, "g int, id int, start long, end long")
-    got = {(r.g, r.left_id, r.right_id) for r in intervals.overlaps(df, df, "g", width=50).collect()}
+    got = {(r.g, r.left_id, r.right_id) for r in sweep.overlaps(df, df, "g", rows=9).collect()}
     assert got == {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[3] and b[2] < a[3]}
     inside = {}
     for a in rows:
         held = [(b[3] - b[2], b[2], b[1]) for b in rows if b[0] == a[0] and b[2] <= a[2] and a[3] <= b[3] and b[1] > a[1]]
         if held:
             inside[a[0], a[1]] = min(held)[2]
-    assert {(r.g, r.inner_id): r.outer_id for r in intervals.enclosing(df, df, "g", width=50, later=True).collect()} == inside
+    assert {(r.g, r.inner_id): r.outer_id for r in sweep.enclosing(df, df, "g", later=True, rows=9).collect()} == inside
     depth = {r.g: r.most_open for r in intervals.depth(df, "g").collect()}
     for g in range(3):
         own = [r for r in rows if r[0] == g]
