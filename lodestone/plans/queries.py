@@ -622,7 +622,7 @@ NESTED = "select case when o_custkey % 4 = 0 then o_custkey % 50 else -1 end as
 
 
 def _nested(spark, d):
-    width = F.shiftleft(F.lit(1).cast("long"), (F.col("o_custkey") % 13).cast("int"))
+    width = F.expr("shiftleft(1L, cast(o_custkey % 13 as int))")
     start = F.col("o_orderkey") - F.col("o_orderkey") % width
     return table(spark, d, "orders").select(F.when(F.col("o_custkey") % 4 == 0, F.col("o_custkey") % 50).otherwise(F.lit(-1)).alias("g"), F.col("o_orderkey").alias("id"), start.alias("start"), (start + width).alias("end"))
 
