@@ -154,24 +154,29 @@ def bootstrap(edges: DataFrame, support: float = 3.0, accept: float = 0.8, settl
     """
     cols = [f"c{k}" for k in range(len(KINDS))]
     seeds = edges.groupBy("match").agg(*(F.max(F.when(F.col("seed") == k, 1.0).otherwise(0.0)).alias(c) for k, c in enumerate(cols)), F.max(F.col("seed").isNotNull()).alias("known"))
-    seeds = settled(seeds)
-    links = settled(edges.select("pattern", "match").distinct())
-    hot = {key: hot_keys(links, key) for key in ("match", "pattern")}
-    now, moved = seeds, math.inf
+    seeds, links = settled(seeds), settled(edges.select("pattern", "match").distinct())
+    hot = hot_keys(links, "match")
+    # what seeds give their patterns stays, so rounds look at the other instances only
+    given = joined_apart(links, seeds.where("known").drop("known"), "match", hot).groupBy("pattern").agg(*(F.sum(c).alias(c) for c in cols))
+    number = links.groupBy("pattern").agg(*(F.lit(0.0).alias(c) for c in cols), F.count("*").alias("n"))
+    fixed = given.withColumn("n", F.lit(0).cast("long")).unionByName(number)
+    fixed = settled(fixed.groupBy("pattern").agg(*(F.sum(c).alias(c) for c in (*cols, "n"))))
+    open_ = settled(joined_apart(links, seeds.where(~F.col("known")).select("match"), "match", hot).select("pattern", "match"))
+    hot = {key: hot_keys(open_, key) for key in ("match", "pattern")}
+    now, moved = seeds.select("match", *cols).limit(0), math.inf
     while moved > settles:
-        by_pattern = joined_apart(links, now, "match", hot["match"]).groupBy("pattern").agg(*(F.sum(c).alias(c) for c in cols), F.count("*").alias("n"))
+        added = joined_apart(open_, now, "match", hot["match"]).groupBy("pattern").agg(*(F.sum(c).alias(c) for c in cols)).withColumn("n", F.lit(0).cast("long"))
+        by_pattern = fixed.unionByName(added).groupBy("pattern").agg(*(F.sum(c).alias(c) for c in (*cols, "n")))
         by_pattern = by_pattern.select("pattern", *(F.when(F.col(c) >= support, F.col(c) / (F.col("n") + 1)).otherwise(0.0).alias(c) for c in cols))
         strong = by_pattern.where(reduce(lambda a, b: a | b, (F.col(c) > 0 for c in cols)))
-        reached = joined_apart(links, settled(strong), "pattern", hot["pattern"]).groupBy("match").agg(*((1 - F.exp(F.sum(F.log1p(-F.col(c))))).alias(f"n{c}") for c in cols))
-        rescored = [F.when(F.col("known"), F.col(c)).otherwise(F.coalesce(f"n{c}", F.lit(0.0))).alias(c) for c in cols]
-        last = now.select(F.col("match").alias("_m"), *(F.col(c).alias(f"_{c}") for c in cols))
-        again = seeds.join(reached, "match", "left").select("match", *rescored, "known").join(last, F.col("match") == F.col("_m"))
-        now = settled(again.select("match", *cols, "known", F.greatest(*(F.abs(F.col(c) - F.col(f"_{c}")) for c in cols)).alias("moved")))
-        moved = now.agg(F.max("moved")).first()[0] or 0.0
-        now = now.drop("moved")
+        reached = joined_apart(open_, settled(strong), "pattern", hot["pattern"]).groupBy("match").agg(*((1 - F.exp(F.sum(F.log1p(-F.col(c))))).alias(f"n{c}") for c in cols))
+        change = F.greatest(*(F.abs(F.col(f"n{c}") - F.coalesce(c, F.lit(0.0))) for c in cols))
+        again = settled(reached.join(now.hint("merge"), "match", "left").select("match", *(F.col(f"n{c}").alias(c) for c in cols), change.alias("moved")))
+        moved = again.agg(F.max("moved")).first()[0] or 0.0
+        now = again.drop("moved")
     best = F.greatest(*cols)
     kind = reduce(lambda rest, k: F.when(F.col(cols[k]) == best, k).otherwise(rest), reversed(range(len(cols))), F.lit(None).cast("int"))
-    return now.where(~F.col("known") & (best >= accept)).select("match", kind.alias("kind"))
+    return now.where(best >= accept).select("match", kind.alias("kind"))
 
 
 def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
