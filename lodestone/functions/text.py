@@ -125,20 +125,24 @@ def body(x: Column) -> Column:
 
 def line_starts(x: Column) -> Column:
     """Where each logical line begins, in code points from 0; the empty text has one line."""
-    parts = F.regexp_extract_all(x, F.lit(r"[^\r\n]*(?:\r\n|\r|\n)"), F.lit(0))
+    # the last line matches too, so that it isn't tried from each of its characters, and goes again
+    parts = F.regexp_extract_all(x, F.lit(r"[^\r\n]*+(?:\r\n|\r|\n|\z)"), F.lit(0))
+    parts = F.filter(parts, lambda p: F.endswith(p, F.lit("\n")) | F.endswith(p, F.lit("\r")))
     return F.element_at(F.transform(F.array(F.transform(parts, lambda p: F.length(p))), lambda found: _sums_before(found)), 1)
 
 
 def _sums_before(lengths: Column, step: int = 256) -> Column:
     """0, and the sums up to and with each element; by runs, so that long arrays don't cost the square of their length."""
-    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / step).cast("int")), lambda b: F.struct(F.slice(lengths, b * step + 1, step).alias("own"), F.slice(lengths, 1, b * step).alias("before")))
 
-    def within(run: Column) -> Column:
-        start = F.aggregate(run["before"], F.lit(0), lambda s, n: s + n)
-        return F.aggregate(run["own"], F.array(start), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    def sums(run: Column, start: Column) -> Column:
+        return F.aggregate(run, F.array(start), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
 
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / step).cast("int")), lambda b: F.slice(lengths, b * step + 1, step))
+    starts = sums(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda s, n: s + n)), F.lit(0))
+    # zipped rather than looked up, so that nothing is worked out anew for each run
+    each = F.zip_with(runs, F.slice(starts, F.lit(1), F.size(runs)), sums)
     # a run gives one more than it has: its own start, which is the end of the run before
-    return F.flatten(F.transform(runs, lambda r, i: F.when(i == 0, within(r)).otherwise(F.slice(within(r), 2, step))))
+    return F.flatten(F.transform(each, lambda r, i: F.when(i == 0, r).otherwise(F.slice(r, 2, step))))
 
 
 def strip_break(x: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import graph, intervals, metrics, ordered, reconcile, sampling, search, sweep, textdiff, validate
-from lodestone.sources import extract, inventory, scratch
+from lodestone.operators import graph, intervals, merkle, metrics, ordered, reconcile, sampling, scopes, search, sweep, textdiff, validate
+from lodestone.sources import extract, inventory, scratch, sections
 from lodestone.sources.store import GenerationStore, incremental
 from lodestone.sources.store import session_blobs as store_session
 from lodestone.streaming import events
@@ -928,3 +928,63 @@ select o_custkey, first, o_orderkey as second from w where first is not null
 def greedy_pairs(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return sampling.greedy_pairs(o, "o_custkey", "o_orderkey", "o_totalprice", lambda a, b: b > a)
+
+
+LEVELS = ", ".join(f"max(case when level = {k} then line end) over w as l{k}, arg_max(name, line) filter (where level = {k}) over w as n{k}, min(case when level <= {k} then line end) over v as a{k}" for k in range(1, 7))
+_OPEN = {k: " and ".join([f"l{k} is not null and level > {k}", *(f"(l{j} is null or l{j} < l{k})" for j in range(1, k))]) for k in range(1, 7)}
+_CHAIN = ", ".join(f"case when {_OPEN[k]} then n{k} end" for k in range(1, 7))
+_NEAREST = " ".join(f"when {_OPEN[k]} then l{k}" for k in range(6, 0, -1))
+_UNTIL = " ".join(f"when {k} then a{k}" for k in range(1, 7))
+
+
+@query(f"""
+with t as (select doc_id as path, regexp_extract_all(text, '[a-z]+') as words from documents),
+h as (select path, unnest(words) as name, unnest(range(1, len(words) + 1)) as line, len(words) as n, from t),
+l as (select *, 1 + (length(name) + path) % 6 as level from h),
+c as (select *, {LEVELS} from l window w as (partition by path order by line rows between unbounded preceding and 1 preceding), v as (partition by path order by line rows between 1 following and unbounded following))
+select path, line, array_to_string(list_filter([{_CHAIN}, name], lambda x: x is not null), '.') as qualified_name, case {_NEAREST} end as container, coalesce(case level {_UNTIL} end - 1, n) as end_line from c
+""")
+def qualified_names(spark, d):
+    words = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
+    line = lambda w: F.concat(F.repeat(F.lit("#"), (1 + (F.length(w) + F.col("doc_id")) % 6).cast("int")), F.lit(" "), w)
+    files = table(spark, d, "documents").select(F.lit("p").alias("project"), F.col("doc_id").alias("path"), F.array_join(F.transform(words, line), "\n").alias("text"))
+    return sections.headings(files).select("path", F.col("line").cast("long").alias("line"), "qualified_name", F.col("container").cast("long").alias("container"), F.col("end_line").cast("long").alias("end_line"))
+
+
+@query("""
+with d as (
+  select '' as scope, 'n' || (p_partkey % 53) as name, 'part ' || p_partkey as id from part where p_partkey % 5 = 0
+  union all select r_name, 'n' || (n_nationkey * 7 % 53), n_name from nation join region on n_regionkey = r_regionkey
+  union all select r_name || '/' || n_name, 'n' || (s_suppkey % 53), s_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+g as (select scope, name, min(id) as id, count(distinct id) > 1 as many from d group by all),
+u as (select o_orderkey, r_name as a, r_name || '/' || n_name as b, 'n' || (o_orderkey % 61) as word
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
+select o_orderkey, u.word, coalesce(y.id, x.id, w.id) as target, cast(case when y.id is not null then 2 when x.id is not null then 1 when w.id is not null then 0 end as int) as depth,
+  case when coalesce(y.id, x.id, w.id) is null then 'unbound' when coalesce(y.many, x.many, w.many) then 'ambiguous' else 'semantic' end as binding
+from u left join g y on y.scope = b and y.name = word left join g x on x.scope = a and x.name = word left join g w on w.scope = '' and w.name = word
+""")
+def scoped_references(spark, d):
+    name = lambda x: F.concat(F.lit("n"), (x % 53).cast("string"))
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    parts = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.array().cast("array<string>").alias("scope"), name(F.col("p_partkey")).alias("name"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("id"))
+    inner = nations.select(F.array("r_name").alias("scope"), name(F.col("n_nationkey") * 7).alias("name"), F.col("n_name").alias("id"))
+    held = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    declared = parts.unionByName(inner).unionByName(held.select(F.array("r_name", "n_name").alias("scope"), name(F.col("s_suppkey")).alias("name"), F.col("s_name").alias("id")))
+    buyers = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    uses = table(spark, d, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+    uses = uses.select("o_orderkey", F.array("r_name", "n_name", "c_mktsegment").alias("chain"), F.concat(F.lit("n"), (F.col("o_orderkey") % 61).cast("string")).alias("word"))
+    return scopes.bound(uses, declared).drop("chain")
+
+
+_FOLD = "select {n} as level, start, cast(sum(n) as bigint) as n, sha256(string_agg(digest, '' order by pos, digest)) as digest from (select *, coalesce(max(case when starts_with(sha256(pos), '{zeros}') then pos end) over (order by pos), '') as start from {of}) as f group by start"
+
+
+@query(f"""
+with k as (select 'doc ' || doc_id as key, text from documents),
+l0 as (select key as pos, 1 as n, sha256(strlen(key) || ':' || key || ',' || coalesce(strlen(text) || ':' || text, '-')) as digest from k),
+l1 as ({_FOLD.format(n=1, zeros="0", of="l0")}), m1 as (select start as pos, n, digest from l1), l2 as ({_FOLD.format(n=2, zeros="00", of="m1")})
+select * from l1 union all select * from l2 union all select 3, '', cast(sum(n) as bigint), sha256(string_agg(digest, '' order by start)) from l2
+""")
+def ordered_digest(spark, d):
+    rows = table(spark, d, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("key"), "text")
+    return merkle.tree(rows, "key", ["key", "text"], levels=2, digits=1)
