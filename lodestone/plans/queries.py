@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import graph, intervals, merkle, metrics, ordered, reconcile, sampling, scopes, search, sweep, textdiff, validate
+from lodestone.operators import graph, intervals, merkle, metrics, ordered, reconcile, sampling, scopes, search, selftext, sweep, textdiff, validate
 from lodestone.sources import extract, inventory, scratch, sections
 from lodestone.sources.store import GenerationStore, incremental
 from lodestone.sources.store import session_blobs as store_session
@@ -988,3 +988,50 @@ select * from l1 union all select * from l2 union all select 3, '', cast(sum(n)
 def ordered_digest(spark, d):
     rows = table(spark, d, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("key"), "text")
     return merkle.tree(rows, "key", ["key", "text"], levels=2, digits=1)
+
+
+#: Members of each document: six spans at places that its id decides, some of which overlap, nest or reach beyond the text.
+_MEMBERS = "select doc_id as k, 'm' || j as member, doc_id * 7919 * j % (length(coalesce(text, '')) + 1) as start, doc_id * 7919 * j % (length(coalesce(text, '')) + 1) + doc_id * 31 * j % 97 as \"end\" from documents, range(1, 7) r(j)"
+
+
+def _members(docs: DataFrame) -> DataFrame:
+    each = docs.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    start = F.col("doc_id") * 7919 * F.col("j") % (F.length(F.coalesce("text", F.lit(""))) + 1)
+    return each.select(F.col("doc_id").alias("k"), F.concat(F.lit("m"), F.col("j").cast("string")).alias("member"), start.alias("start"), (start + F.col("doc_id") * 31 * F.col("j") % 97).alias("end"))
+
+
+@query(f"""
+with m as ({_MEMBERS}), c as (select k, member, start, least("end", length(coalesce(text, ''))) as stop, coalesce(text, '') as text from m join documents on k = doc_id),
+o as (select *, max(stop) over (partition by k order by start, stop desc, member rows between unbounded preceding and 1 preceding) as reach from c where start < stop),
+i as (select *, sum(case when reach > start then 0 else 1 end) over (partition by k order by start, stop desc, member rows unbounded preceding) as island from o),
+s as (select k, min(start) as start, max(stop) as stop from i group by k, island),
+g as (select k, coalesce(lag(stop) over w, 0) as a, start as b from s window w as (partition by k order by start) union all select doc_id, coalesce((select max(stop) from s where k = doc_id), 0), length(coalesce(text, '')) from documents)
+select k, cast(count(*) as int) as n_pieces, sha256(string_agg(substring(coalesce(text, ''), cast(a as int) + 1, cast(b - a as int)), '|' order by a, b)) as pieces from g join documents on k = doc_id group by k
+""")
+def self_text_mask(spark, d):
+    docs = table(spark, d, "documents")
+    found = selftext.self_text(docs.select(F.col("doc_id").alias("k"), "text"), _members(docs), "k")
+    return found.select("k", F.size("pieces").alias("n_pieces"), F.sha2(F.array_join("pieces", "|"), 256).alias("pieces"))
+
+
+@query("""
+with k as (select doc_id as k, doc_id % 7 as m, coalesce(text, '') as text from documents)
+select k, case when m = 0 then 'none' when m = 1 then case when regexp_matches(text, '\\s') then 'whitespace' else 'none' end when m in (3, 5) then 'member_only' when m in (2, 6) then 'none' else 'substantive' end as class from k
+""")
+def self_text_classes(spark, d):
+    """A document in braces with three members after it, one a line; by id mod 7 the other side has the same, other spaces, two members swapped, one
+    more at the end, another word, one less, or members of other content."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("k"), (F.col("doc_id") % 7).alias("m"), F.concat(F.lit("{ "), F.coalesce("text", F.lit(""))).alias("head"))
+    sides = []
+    for new in (False, True):
+        m = F.col("m") if new else F.lit(0)
+        head = F.when(m == 1, F.regexp_replace("head", r"(?<=[^{ ])\s", "  ")).when(m == 4, F.concat("head", F.lit(" word"))).otherwise(F.col("head"))
+        names = F.when(m == 2, F.array(*map(F.lit, "bac"))).when(m == 3, F.array(*map(F.lit, "abcd"))).when(m == 5, F.array(*map(F.lit, "ac"))).otherwise(F.array(*map(F.lit, "abc")))
+        rows = docs.select("k", F.concat(head, F.lit("\n")).alias("head"), F.transform(names, lambda x: F.concat(F.lit("<"), x, F.when(m == 6, "!!").otherwise("!"), F.lit(">"))).alias("own"), names.alias("names"))
+        text = F.concat("head", F.array_join("own", "\n"), F.lit("\n}"))
+        size = F.length(F.element_at("own", 1))
+        each = rows.select("k", "head", size.alias("size"), F.posexplode("names").alias("at", "name"))
+        start = F.octet_length(F.encode("head", "UTF-16BE")) / 2 + F.col("at") * (F.col("size") + 1)
+        spans = each.select("k", F.concat_ws("/", F.col("k").cast("string"), "name").alias("member"), start.cast("long").alias("start"), (start + F.col("size")).cast("long").alias("end"))
+        sides.append((selftext.self_text(rows.select("k", text.alias("text")), spans, "k"), spans.select("member")))
+    return selftext.classes(sides[0][0], sides[1][0], "k", sides[0][1], sides[1][1])
