@@ -43,3 +43,34 @@ def ancestors(parents: DataFrame, most_depth: int | None = None) -> DataFrame:
             break
         found = found.unionByName(step)
     return found
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components of undirected edges (of one type that orders) as rows (node, root), root the smallest node.
+
+    Large-star and small-star steps in turn, each round settled; stops once a round changes nothing.
+    Edges to themselves are ignored; nodes without edges have no row.
+    """
+    now = settled(
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    )
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    before = mark(now)
+    while before[0]:
+        both = now.union(now.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        now = settled(small.where("u <> v").distinct())
+        after = mark(now)
+        if after == before:
+            break
+        before = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import graph, intervals, merkle, metrics, ordered, reconcile, sampling, scopes, search, selftext, sweep, textdiff, validate
+from lodestone.operators import graph, identity, intervals, merkle, metrics, ordered, reconcile, sampling, scopes, search, selftext, sweep, textdiff, validate
 from lodestone.sources import extract, inventory, scratch, sections
 from lodestone.sources.store import GenerationStore, incremental
 from lodestone.sources.store import session_blobs as store_session
@@ -1035,3 +1035,24 @@ def self_text_classes(spark, d):
         spans = each.select("k", F.concat_ws("/", F.col("k").cast("string"), "name").alias("member"), start.cast("long").alias("start"), (start + F.col("size")).cast("long").alias("end"))
         sides.append((selftext.self_text(rows.select("k", text.alias("text")), spans, "k"), spans.select("member")))
     return selftext.classes(sides[0][0], sides[1][0], "k", sides[0][1], sides[1][1])
+
+
+@query("""
+with recursive e as (
+  select event_id // 40 as run, event_id as event, case when event_id % 3 = 0 then event_id * 7 % 29 end as usage, case when event_id % 4 = 1 then event_id % 7 end as request, case when event_id % 4 = 1 then event_id * 3 % 5 end as item, value from events
+  union all select event_id // 40, event_id, null, null, null, case when event_id % 22 = 0 then value + 1 else value end from events where event_id % 11 = 0),
+p as (select distinct a.run, a.event, b.event as other from e a join e b on a.run = b.run and (a.usage = b.usage or a.request = b.request and a.item = b.item)),
+r as (select run, event, other from p union select r.run, r.event, p.other from r join p on r.run = p.run and r.other = p.event),
+g as (select run, event, min(other) as root from r group by all),
+d as (select run, event, count(*) as same, count(distinct value) > 1 as conflict from e group by all)
+select d.run, d.event, same, conflict, coalesce(root, d.event) as "group", coalesce(root, d.event) = d.event as counted from d left join g on g.run = d.run and g.event = d.event
+""")
+def event_identity(spark, d):
+    """Events in runs of 40, every eleventh sent again, every other of these with another value; records and content items are shared within runs."""
+    e, id_ = table(spark, d, "events"), F.col("event_id")
+    run = (id_ / 40).cast("long")
+    some = e.select(run.alias("run"), id_.alias("event"), F.when(id_ % 3 == 0, id_ * 7 % 29).alias("usage"), F.when(id_ % 4 == 1, id_ % 7).alias("request"), F.when(id_ % 4 == 1, id_ * 3 % 5).alias("item"), "value", F.lit(0).alias("at"))
+    none = F.lit(None).cast("long")
+    again = e.where(id_ % 11 == 0).select(run.alias("run"), id_.alias("event"), none.alias("usage"), none.alias("request"), none.alias("item"), F.when(id_ % 22 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("value"), F.lit(1).alias("at"))
+    found = identity.identified(some.unionByName(again), "run", "event", "at", ["value"], [["usage"], ["request", "item"]])
+    return found.where("first").select("run", "event", "same", "conflict", "group", "counted")
