@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.graph import components
 from lodestone.sources.scratch import release, settled
 
-__all__ = ["LOWER", "NOT_SPACE", "components", "crc_mod", "discard", "from_planes", "hot_keys", "joined_apart", "planes", "release", "settled", "slices", "split_words", "table"]
+__all__ = ["LOWER", "NOT_SPACE", "apart", "components", "crc_mod", "discard", "from_planes", "hot_keys", "joined_apart", "planes", "release", "settled", "slices", "split_words", "table"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java character class.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -70,8 +70,17 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return settled(per.where(F.col("n") * HOT >= total).select(key))
 
 
-def joined_apart(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+def apart(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Settled rows of all other keys, rows of hot keys, and the hot keys: for tables that are joined by the key several times."""
+    hot = hot_keys(df, key)
+    return settled(df.join(F.broadcast(hot), key, "left_anti")), settled(df.join(F.broadcast(hot), key, "left_semi")), hot
+
+
+def joined_apart(left: DataFrame | tuple[DataFrame, DataFrame, DataFrame], right: DataFrame, key: str) -> DataFrame:
     """left joined with right, which has a key once, whatever part of left has one key: rows of hot keys stay where they are, the others are
-    shuffled. left is read several times; hot, if given, are its `hot_keys`."""
-    hot = F.broadcast(hot_keys(left, key) if hot is None else hot)
-    return left.join(hot, key, "left_anti").join(right.hint("merge"), key).unionByName(left.join(F.broadcast(right.join(hot, key, "left_semi")), key))
+    shuffled. left is read several times, or given as `apart` has parted it."""
+    if isinstance(left, DataFrame):
+        hot = F.broadcast(hot_keys(left, key))
+        left = left.join(hot, key, "left_anti"), left, hot
+    cold, warm, hot = left
+    return cold.join(right.hint("merge"), key).unionByName(warm.join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hot_keys, joined_apart, settled, table
+from lodestone.llm.common import apart, joined_apart, settled, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' patterns. A run of characters can only match from its start or from where the last match ended, so nothing is tried twice:
@@ -28,7 +28,7 @@ CANDIDATE = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+(?:\x20[(0-9][0-9().-]*+)*+"
 CONTEXT = 64
 STEP, SHORT = 256, 16
 #: Scoring ends with the first round that changes no confidence by more.
-SETTLED = 0.001
+SETTLED = 0.02
 
 
 def _let(x: Column, then: Callable[[Column], Column]) -> Column:
@@ -155,21 +155,21 @@ def bootstrap(edges: DataFrame, support: float = 3.0, accept: float = 0.8, settl
     cols = [f"c{k}" for k in range(len(KINDS))]
     seeds = edges.groupBy("match").agg(*(F.max(F.when(F.col("seed") == k, 1.0).otherwise(0.0)).alias(c) for k, c in enumerate(cols)), F.max(F.col("seed").isNotNull()).alias("known"))
     seeds, links = settled(seeds), settled(edges.select("pattern", "match").distinct())
-    hot = hot_keys(links, "match")
+    by_match = apart(links, "match")
     # what seeds give their patterns stays, so rounds look at the other instances only
-    given = joined_apart(links, seeds.where("known").drop("known"), "match", hot).groupBy("pattern").agg(*(F.sum(c).alias(c) for c in cols))
+    given = joined_apart(by_match, seeds.where("known").drop("known"), "match").groupBy("pattern").agg(*(F.sum(c).alias(c) for c in cols))
     number = links.groupBy("pattern").agg(*(F.lit(0.0).alias(c) for c in cols), F.count("*").alias("n"))
     fixed = given.withColumn("n", F.lit(0).cast("long")).unionByName(number)
     fixed = settled(fixed.groupBy("pattern").agg(*(F.sum(c).alias(c) for c in (*cols, "n"))))
-    open_ = settled(joined_apart(links, seeds.where(~F.col("known")).select("match"), "match", hot).select("pattern", "match"))
-    hot = {key: hot_keys(open_, key) for key in ("match", "pattern")}
+    open_ = settled(joined_apart(by_match, seeds.where(~F.col("known")).select("match"), "match").select("pattern", "match"))
+    by = {key: apart(open_, key) for key in ("match", "pattern")}
     now, moved = seeds.select("match", *cols).limit(0), math.inf
     while moved > settles:
-        added = joined_apart(open_, now, "match", hot["match"]).groupBy("pattern").agg(*(F.sum(c).alias(c) for c in cols)).withColumn("n", F.lit(0).cast("long"))
+        added = joined_apart(by["match"], now, "match").groupBy("pattern").agg(*(F.sum(c).alias(c) for c in cols)).withColumn("n", F.lit(0).cast("long"))
         by_pattern = fixed.unionByName(added).groupBy("pattern").agg(*(F.sum(c).alias(c) for c in (*cols, "n")))
         by_pattern = by_pattern.select("pattern", *(F.when(F.col(c) >= support, F.col(c) / (F.col("n") + 1)).otherwise(0.0).alias(c) for c in cols))
         strong = by_pattern.where(reduce(lambda a, b: a | b, (F.col(c) > 0 for c in cols)))
-        reached = joined_apart(open_, settled(strong), "pattern", hot["pattern"]).groupBy("match").agg(*((1 - F.exp(F.sum(F.log1p(-F.col(c))))).alias(f"n{c}") for c in cols))
+        reached = joined_apart(by["pattern"], settled(strong), "pattern").groupBy("match").agg(*((1 - F.exp(F.sum(F.log1p(-F.col(c))))).alias(f"n{c}") for c in cols))
         change = F.greatest(*(F.abs(F.col(f"n{c}") - F.coalesce(c, F.lit(0.0))) for c in cols))
         again = settled(reached.join(now.hint("merge"), "match", "left").select("match", *(F.col(f"n{c}").alias(c) for c in cols), change.alias("moved")))
         moved = again.agg(F.max("moved")).first()[0] or 0.0

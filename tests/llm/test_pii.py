@@ -119,7 +119,7 @@ def test_finding_in_a_text_of_many_spans(spark):
     assert (base, spans) == (10_000, 10_000)
 
 
-def plain_bootstrap(edges, support=3.0, accept=0.8, settles=0.001):
+def plain_bootstrap(edges, support=3.0, accept=0.8, settles=0.02):
     seeds, by_match, by_pattern = {}, {}, {}
     for p, m, s in edges:
         by_match.setdefault(m, set()).add(p)
