@@ -140,3 +140,30 @@ def test_impact_names_the_budgets_that_cut(spark, tmp_path):
     assert e.impact(load, most_depth=5, most_results=3).truncated == ("result",)
     few = e.impact(load, most_depth=5, most_files=2)
     assert "source" in few.truncated and {r.path for r in few.rows} == {"b.md"}
+
+
+def test_a_crash_while_a_session_is_written_leaves_the_store_usable(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.build(files(spark, a="# A"))
+
+    def fails(*_):
+        raise OSError("no room")
+
+    monkeypatch.setattr(e.store, "_write", fails)
+    with pytest.raises(OSError):
+        e.store.start_session(e.files(files(spark, a="# A")), name="mine")
+    monkeypatch.undo()
+    assert e.store.pinned() == {e.store.current()}
+    with pytest.raises(StoreError):
+        e.store.session("mine")
+    assert e.store.start_session(e.files(files(spark, a="# A")), name="mine") == "mine"
+
+
+def test_damaged_rows_are_not_served(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    made = e.build(files(spark, a="# A\ntext"))
+    e.store.open(made.generation).limit(1).write.mode("append").parquet(f"{tmp_path}/s/{made.generation}/data")
+    with pytest.raises(StoreError) as err:
+        Engine(spark, str(tmp_path / "s")).find("A")
+    assert err.value.code == "CORRUPT"
+    assert Engine(spark, str(tmp_path / "s")).validate(files(spark, a="# A\ntext")).status == "repair"
