@@ -397,3 +397,8 @@ def test_quality_training_is_plain_gradient_descent():
 
 def test_sums_of_runs():
     assert sums(np.arange(6.0), np.array([2, 0, 3, 1, 0])).tolist() == [1.0, 0.0, 9.0, 5.0, 0.0]
+
+
+def test_numbers_are_no_letters():
+    assert not any(langid.has_letter(x.encode()) for x in ("", "²", "½", "Ⅷ", "①", "12 _ -", "\u0661"))
+    assert all(langid.has_letter(x.encode()) for x in ("a", "1é", "日", "²x"))
