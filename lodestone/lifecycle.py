@@ -7,7 +7,6 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodestone.engine import Answer, Engine
 
@@ -78,9 +77,3 @@ class Trust:
 def carried(limitations: DataFrame, changed: DataFrame) -> DataFrame:
     """Limitations (path, note) of files that have not changed since: they hold for the next generation too."""
     return limitations.join(changed.select("path").distinct(), "path", "left_anti")
-
-
-def provenance(kind: str = "kind", text: str = "text", qualified: str = "qualified_name"):
-    """How a reference was found: invocation, type or member for semantic ones, whole or member name for lexical ones."""
-    lexical = F.when(F.col(text) == F.col(qualified), "lexical-qualified-name").otherwise("lexical-member-name")
-    return F.when(F.col(kind) == "lexical", lexical).when(F.col(kind).isin("invocation", "type"), F.concat(F.lit("semantic-"), F.col(kind))).otherwise("semantic-member")

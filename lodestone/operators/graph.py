@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import settled
@@ -74,3 +74,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def provenance(kind: str = "kind", text: str = "text", qualified: str = "qualified_name") -> Column:
+    """How a reference was found: invocation, type or member for semantic ones, whole or member name for lexical ones."""
+    lexical = F.when(F.col(text) == F.col(qualified), "lexical-qualified-name").otherwise("lexical-member-name")
+    return F.when(F.col(kind) == "lexical", lexical).when(F.col(kind).isin("invocation", "type"), F.concat(F.lit("semantic-"), F.col(kind))).otherwise("semantic-member")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone import lifecycle
 from lodestone.engine import Answer, Engine
-from lodestone.operators import reconcile
+from lodestone.operators import graph, reconcile
 from lodestone.sources import store as stores
 from lodestone.sources.store import GenerationStore, StoreError, content_fingerprint
 
@@ -103,7 +103,7 @@ def test_limitations_of_unchanged_files_are_carried(spark):
     notes = spark.createDataFrame([("a", "syntax-errors: 1"), ("b", "syntax-errors: 2")], "path string, note string")
     assert [r.path for r in lifecycle.carried(notes, spark.createDataFrame([("b",), ("b",)], "path string")).collect()] == ["a"]
     refs = spark.createDataFrame([("lexical", "a.b", "a.b"), ("lexical", "b", "a.b"), ("type", None, "x"), ("field", None, "x")], "kind string, text string, qualified_name string")
-    assert [r[0] for r in refs.select(lifecycle.provenance()).collect()] == ["lexical-qualified-name", "lexical-member-name", "semantic-type", "semantic-member"]
+    assert [r[0] for r in refs.select(graph.provenance()).collect()] == ["lexical-qualified-name", "lexical-member-name", "semantic-type", "semantic-member"]
 
 
 def test_filters_parts_and_coverage_of_the_engine(spark, tmp_path):
@@ -130,7 +130,7 @@ def test_impact_names_the_budgets_that_cut(spark, tmp_path):
     e.build(files(spark, a="# Load\nx\n", b="# One\nLoad\nLoad\n# Two\nLoad One\n", c="# Three\nTwo Load\n"))
     load = [r.symbol_id for r in e.find("Load", exact=True).rows]
     whole = e.impact(load, most_depth=5)
-    assert whole.status == "ok" and whole.cursor is None and {r.provenance for r in whole.rows} == {"lexical-member-name"}
+    assert whole.status == "ok" and whole.cursor is None and {r.provenance for r in whole.rows} == {"semantic-member"}
     first = e.impact(load, most_depth=5, limit=2)
     rest, cursor = list(first.rows), first.cursor
     while cursor:
