@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.engine import Engine
 from lodestone.functions import text as tx
 from lodestone.operators import graph, identity, intervals, merkle, metrics, ordered, reconcile, sampling, scopes, search, selftext, sweep, textdiff, validate
 from lodestone.sources import extract, inventory, scratch, sections
@@ -834,6 +835,31 @@ def incremental_equals_full(spark, d):
     return incremental(scratch.settled(sizes(base)), target, sizes, "id", "digest")
 
 
+@query(r"""
+with d as (select doc_id as path, source, regexp_extract(text, '[a-z]+') as w, text from documents where source is not null and regexp_extract(text, '[a-z]+') <> ''),
+e as (select distinct source as chain, w as name from d union select '', source from d),
+u as (select distinct path, source, w, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}_]+')) as word from d),
+a as (select name, min(chain) as chain from e group by name having count(*) = 1),
+f as (select path, source, w, word, i.name is not null or o.name is not null as bound, case when i.name is not null then source when o.name is not null then '' else a.chain end as chain
+  from u left join e i on i.chain = source and i.name = word left join e o on o.chain = '' and o.name = word left join a on a.name = word)
+select path, source || '.' || w as src, case when chain = '' then word else chain || '.' || word end as dst, case when bound then 'member' else 'lexical' end as kind
+from f where chain is not null and (chain <> source or word <> w)
+""")
+def incremental_references(spark, d):
+    """A document is a section, named by its first word, within its source's; a build of some of them, some under another name, is updated to all."""
+    first = F.regexp_extract("text", "[a-z]+", 0)
+    docs = table(spark, d, "documents").where(F.col("source").isNotNull() & (first != ""))
+    text = lambda w: F.concat(F.lit("# "), F.col("source"), F.lit("\n## "), w, F.lit("\n> "), F.regexp_replace("text", r"\s", " "))
+    files = lambda w: docs.select(F.col("doc_id").cast("string").alias("path"), F.lit("p").alias("project"), text(w).alias("text"))
+    engine = Engine(spark, scratch.new_path(spark))
+    engine.build(files(F.when(F.col("doc_id") % 5 == 0, "old").otherwise(first)).where("cast(path as long) % 7 <> 0"))
+    engine.update(files(first))
+    names = engine.records("symbol").groupBy("symbol_id").agg(F.min("qualified_name").alias("name"))
+    refs = engine.records("reference")
+    named = lambda side: names.select(F.col("symbol_id").alias(side), F.col("name").alias(f"{side}_name"))
+    return refs.join(named("src"), "src").join(named("dst"), "dst").select(F.col("path").cast("long").alias("path"), F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "kind")
+
+
 @query("select source, count(*) as files, count(distinct sha256(text)) as blobs from documents group by 1")
 def session_blobs(spark, d):
     files, blobs = store_session(table(spark, d, "documents").withColumn("digest", F.sha2("text", 256)), "text", "digest")
