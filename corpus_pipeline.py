@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, mixing, packing, pii
+from lodestone.llm import langid, mixing, packing, pii, simhash
 from lodestone.llm.common import settled, table
 from lodestone.llm.near import near_firsts
 
@@ -35,12 +35,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose five-word shingles are alike to 0.8 or more, the first by doc_id stays.
+    """A document stays if it is the first by doc_id (null last) both of its component of SimHash fingerprints (see `simhash.near_duplicates`) and of its
+    group of documents whose five-word shingles are alike to 0.8 or more (see `near`).
 
-    Of rows that are equal in doc_id and text one stays. Texts are shuffled once, to what stays.
+    Fingerprints weigh repeats, the shingle sets find what lies further apart than two bits. Of rows that are equal in doc_id and text one stays. Texts
+    are shuffled once, to what stays.
     """
     rows = _rows(docs)
-    kept = near_firsts(rows.select("row", "doc_id", "text"))
+    found = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    named = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("of"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    firsts = rows.select("row", "doc_id").join(named.hint("merge"), "row").groupBy("of").agg(first).select("first.row")
+    kept = near_firsts(rows.select("row", "doc_id", "text")).join(firsts.hint("merge"), "row", "left_semi")
     return rows.join(kept.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 

@@ -60,3 +60,12 @@ def test_rows_equal_in_id_and_text_are_one(spark):
     rows = [(1, text, "en", "a", 1), (1, text, "en", "b", 2), (None, text, "en", None, 3), (2, "something else entirely " * 9, "en", "a", 4), (2, "another text with the same id " * 9, "en", "a", 5)]
     got = p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), "")
     assert sorted((r.doc_id, r.text.split()[0]) for r in got.collect()) == [(1, "word0"), (2, "another"), (2, "something")]
+
+
+def test_near_duplicates_by_fingerprints(spark):
+    """Texts that mostly repeat one phrase: equal fingerprints, but their sets of shingles are far apart."""
+    phrase = " ".join(f"word{i}" for i in range(9))
+    texts = [(2, " ".join([phrase] * 200)), (1, " ".join([*[phrase] * 200, *(f"other{i}" for i in range(30))])), (3, " ".join(f"else{i}" for i in range(60)))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    assert near_groups(docs.selectExpr("doc_id as row", "doc_id", "text")).select("group").distinct().count() == 3
+    assert sorted(r.doc_id for r in p.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
