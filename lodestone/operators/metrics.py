@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import ratio
+from lodestone.functions.text import lines, ratio
 from lodestone.operators.ordered import placed, running_total
+from lodestone.operators.textdiff import split_lines
+from lodestone.sources.scratch import settled
+
+WORD = re.compile("[a-z]+")
 
 
 def ratio_of(df: DataFrame, by: Sequence[str], num: Column, den: Column) -> DataFrame:
@@ -79,3 +86,49 @@ def evict(df: DataFrame, age: str, size: str, key: str, most: int, protected: Da
     free = df.join(protected.select(key), key, "left_anti")
     over = df.agg((F.sum(size) - most).alias("over"))
     return running_total(free, [age, key], size).crossJoin(F.broadcast(over)).where(F.col("total") - F.col(size) < F.col("over")).drop("over", "total")
+
+
+#: Distinct words that a task counts at once.
+MOST_WORDS = 1 << 17
+
+
+def word_counts(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """(name, n, line_n, doc_n) of the words `[a-z]+` that names has: how often they come, on how many lines (key, line) and in how many keys.
+
+    Texts whose key no other row has are counted a chunk of texts at a time, so that a row for each chunk's distinct words is left. Only rows that share
+    a key, null included, meet by key and line.
+    """
+    again = settled(docs.groupBy(F.col(key).alias("_k")).count().where("count > 1").select("_k"))
+    same = F.col(key).eqNullSafe(F.col("_k"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, line_n, doc_n = Counter(), Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([c[x] for x in n], pa.int64()) for c in (n, line_n, doc_n))], ["name", "n", "line_n", "doc_n"])
+            for c in (n, line_n, doc_n):
+                c.clear()
+            return rows
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = set()
+                for line in split_lines(batch.column(1)[i].as_py()):
+                    words = WORD.findall(line)
+                    n.update(words)
+                    own = set(words)
+                    line_n.update(own)
+                    held |= own
+                if batch.column(0)[i].as_py():
+                    doc_n.update(held)
+                if len(n) > MOST_WORDS:
+                    yield flush()
+        yield flush()
+
+    alone = docs.join(again, same, "left_anti").select(F.col(key).isNotNull().alias("there"), text)
+    counted = alone.mapInArrow(count, "name string, n long, line_n long, doc_n long").join(names, "name", "left_semi")
+    each = docs.join(again, same, "left_semi").select(key, F.posexplode(lines(F.col(text))).alias("line", "t"))
+    words = each.select(key, "line", F.explode(F.split("t", "[^a-z]+")).alias("name")).join(names, "name", "left_semi")
+    by_doc = words.groupBy("name", key, "line").agg(F.count("*").alias("n")).groupBy("name", key).agg(F.sum("n").alias("n"), F.count("*").alias("line_n"))
+    by_doc = by_doc.select("name", "n", "line_n", F.col(key).isNotNull().cast("long").alias("doc_n"))
+    return counted.unionByName(by_doc).groupBy("name").agg(*(F.sum(c).alias(c) for c in ("n", "line_n", "doc_n")))

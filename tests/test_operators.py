@@ -191,3 +191,15 @@ def test_residual_text_ignores_spans_and_space(spark):
     spans = spark.createDataFrame([(1, 3, 5), (2, 3, 5), (2, 4, 6)], "k int, start long, end long")
     rest = {r.k: r.rest for r in textdiff.residual(df, "k", "t", spans).collect()}
     assert rest[1] == rest[2]
+
+
+def test_words_are_counted_by_chunk_unless_keys_come_again(spark):
+    from lodestone.operators import metrics
+
+    rows = [(1, "a b a\nb"), (1, "c a\r\nx\ra"), (2, "a\n\na c"), (None, "a"), (None, "b"), (3, ""), (4, None), (5, "c-c_a")]
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    docs = spark.createDataFrame(rows, "k long, t string").repartition(3)
+    got = metrics.word_counts(docs, "k", "t", names)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 8, 6, 3), ("b", 3, 3, 1), ("c", 4, 3, 3)]
+    counted = metrics.word_counts(docs.where("k > 1"), "k", "t", names)
+    assert sorted(tuple(r) for r in counted.collect()) == [("a", 3, 3, 2), ("c", 3, 2, 2)]
