@@ -203,3 +203,11 @@ def test_words_are_counted_by_chunk_unless_keys_come_again(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("a", 8, 6, 3), ("b", 3, 3, 1), ("c", 4, 3, 3)]
     counted = metrics.word_counts(docs.where("k > 1"), "k", "t", names)
     assert sorted(tuple(r) for r in counted.collect()) == [("a", 3, 3, 2), ("c", 3, 2, 2)]
+
+
+def test_line_diffs_of_several_slices(spark):
+    from lodestone.operators import textdiff
+
+    pairs = spark.range(700, numPartitions=1).selectExpr("id", "repeat(concat(id, ' text\n'), 3) as base", "concat(repeat(concat(id, ' text\n'), 3), 'more') as target")
+    got = textdiff.line_diffs(pairs, "id").collect()
+    assert {r.id for r in got} == set(range(700)) and all((r.mode, r.removed, r.added, r.omitted) == ("line_hunks", 1, 1, 0) for r in got)
