@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import sweep
 from lodestone.operators.ordered import before, ranges
 
 
-def _binned(df: DataFrame, width: int, group: str) -> DataFrame:
-    """A row for each bin of `width` that the interval touches; bins keep range joins from meeting all rows of a large group."""
-    last = F.greatest(F.col("start"), F.col("end") - 1)
-    return df.withColumn("bin", F.explode(F.sequence(F.expr(f"floor(start / {width})"), F.floor(last / width))))
-
-
 def coalesced(df: DataFrame, group: str) -> DataFrame:
     """Overlapping or touching intervals merged: (group, start, end, n). A large group is dealt over ranges (see ordered.before)."""
     order = ["start", "end"]
@@ -32,13 +27,6 @@ def depth(df: DataFrame, group: str) -> DataFrame:
     return summed.groupBy(group).agg(F.max(F.coalesce("past", F.lit(0)) + F.col("step")).alias("most_open"))
 
 
-def reread(df: DataFrame, group: str, order: str, width: int = 1000) -> DataFrame:
-    """(group, id) of intervals that share a point with one before them in the order.
-
-    Earlier ones are cut to the bin, and of equal ones only the first in the order is met, so long or repeated intervals cost a row a bin.
-    """
-    a = _binned(df.select(group, "id", F.col(order).alias("o"), "start", "end"), width, group)
-    # a point more on the left, for an empty interval where the bin starts
-    s, e = F.greatest("start", F.col("bin") * width - 1), F.least("end", (F.col("bin") + 1) * width)
-    b = a.where("end is not null").groupBy(group, "bin", s.alias("s"), e.alias("e")).agg(F.min("o").alias("p"))
-    return a.join(b, [group, "bin"]).where("p < o and s < end and start < e").select(group, "id").distinct()
+def reread(df: DataFrame, group: str, order: str, width: int | None = None) -> DataFrame:
+    """(group, id) of intervals that share a point with one before them in the order (see `sweep.reread`). width: once that of bins, no longer used."""
+    return sweep.reread(df, group, order)
