@@ -93,3 +93,12 @@ def test_reread_in_dense_bins(spark):
     want = {(g, i) for g, i, s, e in full for h, j, t, f in full if g == h and seq[j] < seq[i] and t < e and s < f}
     for width in (7, 50, 1000):
         assert {(r.g, r.id) for r in intervals.reread(df, "g", "seq", width).collect()} == want
+
+
+def test_places_of_groups_over_several_ranges_join_a_row_a_range(split):
+    rows = [("hot", i) for i in range(500)] + [(None, i) for i in range(300)] + [(f"g{i}", j) for i in range(200) for j in range(3)]
+    random.Random(1).shuffle(rows)
+    df = split.createDataFrame(rows, "g string, at int")
+    placed = ordered.placed(df, ["g"], ["at"])
+    assert all(r.place == r.at + 1 for r in placed.collect()) and placed.count() == len(rows)
+    assert "broadcast" in placed._jdf.queryExecution().optimizedPlan().toString()
