@@ -43,6 +43,29 @@ def test_a_fault_leaves_a_whole_generation_current(spark, tmp_path, step):
     assert store.publish(rows(spark, 5)).rows == 5
 
 
+def test_parts_are_published_together_or_not_at_all(spark, tmp_path):
+    store = GenerationStore(spark, str(tmp_path / "s"))
+    whole = store.publish(rows(spark, 5))
+    seen = []
+
+    def more(first):
+        for k in (1, 2):
+            seen.append(first.count())
+            yield first.select("v", (F.col("k") + k * 2).alias("k")).withColumn("v", F.concat(F.lit("t"), "k")).where("k < 5 and k > 1" if k == 1 else "k = 4")
+
+    made = store.publish(rows(spark, 2), more=more)
+    assert made.generation == whole.generation and seen == [2, 2] and store.validate() == "valid"
+
+    def broken(first):
+        yield first
+        raise OSError("part")
+
+    with pytest.raises(OSError):
+        store.publish(rows(spark, 3), more=broken)
+    assert store.current() == whole.generation
+    assert not [p for p in (tmp_path / "s").iterdir() if p.name.startswith("_tmp")]
+
+
 def test_one_writer_at_a_time(spark, tmp_path):
     store = GenerationStore(spark, str(tmp_path / "s"))
     store.publish(rows(spark, 1))
